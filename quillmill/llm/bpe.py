@@ -81,6 +81,26 @@ class PerfectHash:
         return np.where(same & (slot >= 0), slot, -1)
 
 
+def encode_texts(texts: list[str], encode_words) -> list[np.ndarray]:
+    """Ids of each text; encode_words gives those of distinct pre-tokens as bytes."""
+    out: list[np.ndarray] = []
+    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
+        tokens, counts = pretokens.split(texts[lo:hi])
+        if not len(tokens):
+            out += [np.zeros(0, "<u4")] * (hi - lo)
+            continue
+        coded = tokens.dictionary_encode()
+        found = encode_words(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        each = lengths[index]
+        ids = flat[spans((np.cumsum(lengths) - lengths)[index], each)]
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
+        out += np.split(ids, ends[:-1])
+    return out
+
+
 class Coder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -150,24 +170,8 @@ class Coder:
             out.append(found)
         return out
 
-    def encode(self, texts: list[str], encode_words=None) -> list[np.ndarray]:
-        """Ids of each text."""
-        out: list[np.ndarray] = []
-        for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
-            tokens, counts = pretokens.split(texts[lo:hi])
-            if not len(tokens):
-                out += [np.zeros(0, "<u4")] * (hi - lo)
-                continue
-            coded = tokens.dictionary_encode()
-            found = (encode_words or self.encode_words)(coded.dictionary.to_pylist())
-            index = coded.indices.to_numpy()
-            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            flat = np.frombuffer(b"".join(found), "<u4")
-            each = lengths[index]
-            ids = flat[spans((np.cumsum(lengths) - lengths)[index], each)]
-            ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
-            out += np.split(ids, ends[:-1])
-        return out
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return encode_texts(texts, self.encode_words)
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
