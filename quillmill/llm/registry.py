@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing"]
+MODULES = ["bpe", "packing", "simhash"]
 
 
 def _gather(name: str) -> dict:
