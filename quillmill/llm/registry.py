@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing", "simhash"]
+MODULES = ["bpe", "packing", "simhash", "language"]
 
 
 def _gather(name: str) -> dict:
