@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing", "simhash", "language"]
+MODULES = ["bpe", "packing", "simhash", "language", "toxicity"]
 
 
 def _gather(name: str) -> dict:
