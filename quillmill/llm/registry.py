@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing", "simhash", "language", "toxicity"]
+MODULES = ["bpe", "packing", "simhash", "language", "toxicity", "sharding"]
 
 
 def _gather(name: str) -> dict:
