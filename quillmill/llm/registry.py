@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing", "simhash", "language", "toxicity", "sharding"]
+MODULES = ["bpe", "packing", "simhash", "language", "toxicity", "sharding", "linededup"]
 
 
 def _gather(name: str) -> dict:
