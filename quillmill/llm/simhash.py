@@ -1,13 +1,13 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints of at most `RADIUS` differing bits are linked, none missed:
+Fingerprints of at most `radius` differing bits are linked, none missed:
 
 * equal fingerprints are one class, known by its smallest doc_id;
-* of six blocks of bits at least two agree when at most four bits differ, so classes
-  meet under the fifteen pairs of blocks;
+* of radius + 2 blocks of bits at least two agree when at most `radius` bits differ, so
+  classes meet under each pair of blocks;
 * each fingerprint has a table of its Hamming distances to reference fingerprints
   (pivots).  By the triangle inequality distances of linked fingerprints differ by at
-  most `RADIUS` in every coordinate.  Cells of the first two coordinates are part of
+  most `radius` in every coordinate.  Cells of the first two coordinates are part of
   the key under which classes meet, with a class standing in each cell its linked
   partners may have, which splits large meetings; all coordinates discard pairs by
   their maximum difference, and survivors are verified bit by bit.
@@ -40,8 +40,6 @@ RADIUS = 4
 WORDS = 4
 SEED = 42
 PIVOTS = 16
-BLOCK_BITS = (11, 11, 11, 11, 10, 10)
-CELL = 2 * RADIUS + 1
 #: Meetings larger than this are searched from one member outwards.
 SMALL = 48
 SHINGLES_AT_ONCE = 200_000
@@ -82,37 +80,35 @@ def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
+def _meetings(classes: DataFrame, radius: int) -> DataFrame:
     """(key, fp, rep) for each pair of blocks and each pivot cell that the class stands in."""
-    shifts = [sum(BLOCK_BITS[:k]) for k in range(len(BLOCK_BITS))]
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << b) - 1)) for s, b in zip(shifts, BLOCK_BITS, strict=True)]
-    tables = [
-        F.lit(t).cast("long") * F.lit(1 << 22) + F.shiftleft(block[i], 11) + block[j]
-        for t, (i, j) in enumerate(itertools.combinations(range(len(BLOCK_BITS)), 2))
-    ]
+    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in itertools.pairwise(edges)]
+    tables = [F.lit(t << 32) + F.shiftleft(x, 16) + y for t, (x, y) in enumerate(itertools.combinations(block, 2))]
 
     def cells(k: int) -> Column:
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(pivots()[k].view(np.int64)))))
-        return F.array_distinct(F.array(F.floor(d / CELL), F.floor((d + RADIUS) / CELL)))
+        size = 2 * radius + 1
+        return F.array_distinct(F.array(F.floor(d / size), F.floor((d + radius) / size)))
 
     return (
         classes.withColumn("table", F.explode(F.array(*tables)))
         .withColumn("c0", F.explode(cells(0)))
         .withColumn("c1", F.explode(cells(1)))
-        .select((F.col("table") * 64 + F.col("c0") * 8 + F.col("c1")).alias("key"), "fp", "rep")
+        .select((F.col("table") * 4096 + F.col("c0") * 64 + F.col("c1")).alias("key"), "fp", "rep")
     )
 
 
-def _near(fp: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _near(fp: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs (a, b) are linked: first by pivot distances, then bit by bit."""
     for k in range(PIVOTS):
-        keep = np.abs(far[k, a] - far[k, b]) <= RADIUS
+        keep = np.abs(far[k, a] - far[k, b]) <= radius
         a, b = a[keep], b[keep]
-    keep = np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS
+    keep = np.bitwise_count(fp[a] ^ fp[b]) <= radius
     return np.stack([a[keep], b[keep]])
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the linked groups of each run of equal keys."""
     bounds = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key))
     sizes = np.diff(bounds)
@@ -125,7 +121,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray
         at = at[key[at + step] == key[at]]
         if not len(at):
             break
-        a, b = _near(fp, far, at, at + step)
+        a, b = _near(fp, far, at, at + step, radius)
         out.append((rep[a], rep[b]))
     for g in np.flatnonzero(sizes > SMALL):
         left = np.arange(bounds[g], bounds[g + 1])
@@ -135,7 +131,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray
             reached = [seed]
             while reached and len(left):
                 x = reached.pop()
-                _, found = _near(fp, far, np.full(len(left), x), left)
+                _, found = _near(fp, far, np.full(len(left), x), left, radius)
                 if len(found):
                     out.append((rep[found], np.full(len(found), rep[seed])))
                     reached += found.tolist()
@@ -145,14 +141,14 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray
     return a, b
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """classes: (fp, rep), one row per fingerprint.  Returns links (a, b) between reps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the rows of the last key, which may go on in the next batch
 
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = _links(rows[0], rows[1].view(np.uint64), rows[2])
+            a, b = _links(rows[0], rows[1].view(np.uint64), rows[2], radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -171,15 +167,15 @@ def links(classes: DataFrame) -> DataFrame:
         if held:
             yield from emit(np.ascontiguousarray(np.concatenate(held, axis=1)))
 
-    dealt = _meetings(classes).repartition("key").sortWithinPartitions("key")
+    dealt = _meetings(classes, radius).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, words: int = WORDS) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each document."""
     found = written(fingerprints(df, words))
     classes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(links(classes))
+    parts = connected_components(links(classes, radius))
     named = classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
