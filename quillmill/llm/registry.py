@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bpe", "packing", "simhash", "language", "toxicity", "sharding", "linededup", "fingerprint", "neardup"]
+MODULES = ["bpe", "packing", "simhash", "language", "toxicity", "sharding", "linededup", "fingerprint", "neardup", "html"]
 
 
 def _gather(name: str) -> dict:
