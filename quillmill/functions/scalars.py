@@ -60,10 +60,11 @@ def suffixed(base: Column, nth: Column) -> Column:
 
 
 def uuid_short(uuid: Column) -> Column:
-    """Twelve base-32 characters of a UUID's random part."""
+    """Twelve base-32 characters in upper case: the first 60 random bits of a time-ordered UUID."""
     plain = F.replace(uuid, F.lit("-"))
-    high = F.conv(F.substring(plain, 18, 15), 16, 10).cast("bigint")
-    return base32(high, 12)
+    first = F.conv(F.substring(plain, 14, 3), 16, 10).cast("bigint")
+    second = F.conv(F.substring(plain, 17, 13), 16, 10).cast("bigint").bitwiseAND(F.lit((1 << 50) - 1))
+    return F.upper(base32(F.shiftleft(first, 48).bitwiseOR(F.shiftright(second, 2)), 12))
 
 
 def uuid_path(uuid: Column) -> Column:
