@@ -346,9 +346,13 @@ def ticket_roundtrip(spark, d):
 def ticket_patch(spark, d):
     none = F.lit(None).cast("string")
     rows = tickets(spark, d).withColumns({"created": F.try_to_timestamp("created"), "title": F.col("id")} | {c: none for c in ("assignee", "external_ref", "description", "design", "acceptance")})
-    text = fields.with_field(fields.written_ticket(), "status", F.lit("in_progress"))
-    text = fields.without_field(fields.with_blockers(fields.with_field(text, "assignee", F.lit("me")), F.array(F.lit("x"), F.lit("y"))), "parent")
-    found = rows.select("id", text.alias("content"))
+    found = rows.select("id", fields.written_ticket().alias("content"))
+    text = F.col("content")  # a patch names its text several times, so each is a step of its own
+    for patched in (
+        fields.with_field(text, "status", F.lit("in_progress")), fields.with_field(text, "assignee", F.lit("me")),
+        fields.with_blockers(text, F.array(F.lit("x"), F.lit("y"))), fields.without_field(text, "parent"),
+    ):
+        found = found.withColumn("content", patched)
     blocked = F.array_join(fields.blockers(fields.field(F.col("content"), "blocked-by")), ",")
     return found.select("id", *(fields.field(F.col("content"), f).alias(f) for f in ("status", "assignee", "parent")), blocked.alias("blocked_by"))
 
@@ -362,7 +366,7 @@ def scalar_ints(spark, d):
 
 @query("time_ids")
 def time_ids(spark, d):
-    stamped = table(spark, d, "orders").select("o_orderkey", F.unix_seconds("o_orderdate").alias("at"))
+    stamped = table(spark, d, "orders").select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
     return stamped.select("o_orderkey", scalars.time_id(F.col("at")).alias("id"))
 
 
@@ -396,7 +400,7 @@ _sql("sql_join", "SELECT n.n_name, r.r_name, count(*) AS customers FROM customer
 _sql("sql_semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS pending FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 _sql("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk, lag(o_orderkey) OVER w AS before, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 _sql("sql_setops", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
-_sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping_id() AS INT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS INT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 _sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, (SELECT count(*) FROM region WHERE r_regionkey < n) AS below FROM t")
 _sql("sql_case_filter", "SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal BETWEEN 0 AND 1000) AS small, sum(CASE WHEN c_nationkey IN (1, 2, 3) THEN 1 ELSE 0 END) AS near, coalesce(nullif(min(c_name), ''), '-') AS first FROM customer WHERE c_name LIKE 'Customer%' GROUP BY c_mktsegment")
