@@ -51,7 +51,8 @@ def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, chars:
     bad = written(hits.groupBy("doc_id", "hash").agg(F.count(F.lit(1))).groupBy("doc_id").agg(F.collect_list("hash").alias("_bad")))
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x: ~((F.char_length(x) >= chars) & F.array_contains(F.col("_bad"), F.xxhash64(x))))
-    found = df.join(bad, "doc_id", "left")
+    # a shuffle at every size: documents with boilerplate grow with the corpus
+    found = df.join(bad.hint("merge"), "doc_id", "left")
     kept_text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("_bad").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
     return found.select(*(kept_text.alias(c) if c == "text" else F.col(c) for c in df.columns if c != "n_removed"), removed.alias("n_removed"))
