@@ -172,7 +172,7 @@ def first_fault(row: dict[str, Column] | None = None) -> Column:
 def blockers(text: Column) -> Column:
     """The ids of a list as written, null without brackets."""
     trimmed = F.trim(text)
-    items = F.filter(F.transform(F.split(F.regexp_extract(trimmed, r"^\[(.*)\]$", 1), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.regexp_extract(trimmed, r"^\[(.*)\]$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(trimmed.rlike(r"^\[.*\]$"), items)
 
 
