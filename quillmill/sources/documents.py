@@ -60,7 +60,7 @@ class _Reader(DataSourceReader):
                     yield os.path.relpath(os.path.join(folder, f), self.base)
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        for name in part.names:
+        for name in part.names if part else ():  # Spark asks once where there are no parts
             for path in self._walk(name):
                 full = os.path.join(self.base, path)
                 try:
