@@ -160,7 +160,7 @@ class _Ids:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         missing = [w for w in words if w not in cache]
-        lines = [w for w in missing if NEW_LINE not in w and not w.isspace()]
+        lines = [w for w in missing if NEW_LINE not in w and not w.decode().isspace()]
         if lines:  # one call: a new line before a pre-token doesn't change how it is split
             ids = self.encoding.encode_to_numpy(NEW_LINE.join(lines).decode(), disallowed_special=()).astype("<u4")
             cut = np.flatnonzero(ids == self.new_line)
