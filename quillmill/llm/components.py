@@ -19,7 +19,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         near = edges
     else:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    # written, so that the join below deals both sides anew and a hub's links can be split
+    least = written(near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
     seen = near.join(least, "a")
     if small:
         out = seen.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
