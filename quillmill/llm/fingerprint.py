@@ -121,7 +121,8 @@ def resolved(found: DataFrame, df: DataFrame) -> DataFrame:
     the texts of df inside each bucket of several documents."""
     spark = df.sparkSession
     short_batches(spark)
-    shared = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint")
+    # written, so that the join deals both sides anew and a large bucket can be split
+    shared = written(found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"))
     several = written(found.join(shared, "fingerprint").select("doc_id", "fingerprint"))
     canon = F.pandas_udf(_canonical_column, "string")
     texts = df.select("doc_id", "text").join(maybe_broadcast(several, several.count()), "doc_id").select("fingerprint", canon("text").alias("canon"))
