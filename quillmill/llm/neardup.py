@@ -41,8 +41,9 @@ PROBES = 4
 #: Distance between lattice points in units of a unit vector's projections.
 SCALE = 0.22
 SEED = 7
-#: Members of one block of a crowded cell.
-BLOCK = 1024
+#: Members of one block of a crowded cell, and rows compared at once.
+BLOCK = 256
+ROWS = 4096
 SMALL = 32
 
 
@@ -187,7 +188,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) < 4 * BLOCK:
+            if sum(map(len, held)) < ROWS:
                 continue
             rows = pa.Table.from_batches(held)
             key, low, high = (rows[c].to_numpy() for c in ("key", "low", "high"))
