@@ -60,6 +60,14 @@ def ancestors(tickets: DataFrame, most: int = 64) -> DataFrame:
     return found
 
 
+def _doubled(walk: DataFrame) -> DataFrame:
+    """walk (id, reason, next) with every pointer moved on to where its target points,
+    unless the target has a reason, which then is the ticket's own."""
+    ahead = walk.select(F.col("id").alias("next"), F.col("reason").alias("next_reason"), F.col("next").alias("after"))
+    reason = F.coalesce("reason", "next_reason")
+    return walk.join(ahead, "next", "left").select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("after")).alias("next"))
+
+
 def blocked_chains(tickets: DataFrame) -> DataFrame:
     """(id, reason) of tickets whose own or whose ancestors' blockers, or whose chain of
     parents, hold them up: 'blocker', 'missing parent' or 'cycle'."""
@@ -69,17 +77,12 @@ def blocked_chains(tickets: DataFrame) -> DataFrame:
     nodes = tickets.select("id", jump.alias("parent")).join(own, "id", "left").join(there, "parent", "left")
     reason = F.coalesce("own", F.when(F.col("parent").isNotNull() & F.col("known").isNull(), F.lit("missing parent")))
     walk = written(nodes.select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("parent")).alias("next")))
-    rounds = 0
-    while True:
-        moving = walk.filter("next is not null").count()
-        # a chain without a cycle has no more steps than tickets, so who still moves now is in one
-        if not moving or rounds > math.ceil(math.log2(moving + 1)) + 1:
-            break
-        ahead = walk.select(F.col("id").alias("next"), F.col("reason").alias("next_reason"), F.col("next").alias("after"))
-        stepped = walk.join(ahead, "next", "left")
-        reason = F.coalesce("reason", "next_reason")
-        walk = written(stepped.select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("after")).alias("next")))
-        rounds += 1
+    # a chain without a cycle has no more steps than there are tickets, so who still moves then is in one
+    most = math.ceil(math.log2(walk.count() + 1)) + 1
+    doublings = 0
+    while doublings < most and not walk.filter("next is not null").isEmpty():
+        walk = written(_doubled(_doubled(walk)))
+        doublings += 2
     return walk.select("id", F.coalesce("reason", F.when(F.col("next").isNotNull(), F.lit("cycle"))).alias("reason")).filter("reason is not null")
 
 
