@@ -171,10 +171,8 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = labels.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) / float(1 << 20) < share)
     rows = written(df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").select("text", "toxic"))  # about twice `sample` rows
-    single = rows
-    for part in (F.left("text", F.lit(64)), F.right("text", F.lit(64))):  # copies, and those edited elsewhere
-        single = single.withColumn("part", part).dropDuplicates(["part", "toxic"]).drop("part")
-    single = written(single)
+    whole = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))  # copies of a whole text, and of no part of it
+    single = written(rows.groupBy(F.xxhash64(whole).alias("copy"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -102,3 +102,16 @@ def test_toxicity_without_labels(spark, tables, odd_documents):
     for own in (labels, labels.limit(0)):
         found = toxicity.op2_toxicity(spark, tables(documents=odd_documents, labels=own)).collect()
         assert len(found) == odd_documents.count() and all(x["score"] == 0 and x["predicted"] == 0 for x in found)
+
+
+def test_a_common_opening_and_closing_line_makes_no_copies(spark):
+    r = random.Random(8)
+    banner, footer = "This banner opens each and every text of the site, whoever wrote it. ", " This licence closes each and every text of the site, whoever wrote it."
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(3))
+    body = lambda toxic: " ".join([word() for _ in range(60)] + ["krom", "zwat"] * toxic + [word() for _ in range(60)])
+    rows = [(k, banner + body(k % 4 == 0) + footer) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(df, labels)
+    ((_, bad), (_, good)) = toxicity.scan([banner + body(True) + footer, banner + body(False) + footer], model)
+    assert max(s for _, _, s in bad) > max((s for _, _, s in good), default=0.0) + 2
