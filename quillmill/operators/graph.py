@@ -43,12 +43,13 @@ def repaired(tickets: DataFrame) -> DataFrame:
     return tickets.join(gone, "id").withColumn("blocked_by", fixed)
 
 
-def ancestors(tickets: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(tickets: DataFrame) -> DataFrame:
     """(id, ancestor, depth): every ticket with each of its ancestors, those of a cycle once."""
     parents = written(tickets.filter("parent is not null and parent <> ''").select("id", "parent"))
     found = written(parents.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     reach = 1
-    while reach < most:
+    # least depths are below the number of tickets, on cycles as well, so some reach has no depth left
+    while True:
         # paths of up to `reach` steps, then as many steps more
         far = found.filter(F.col("depth") == reach).select("id", F.col("ancestor").alias("via"))
         more = far.join(found.select(F.col("id").alias("via"), "ancestor", "depth"), "via").select("id", "ancestor", (F.col("depth") + reach).alias("depth"))

@@ -72,6 +72,14 @@ def test_edges_stale_repair_ancestors(spark):
     assert graph.ready(df.limit(0)).count() == 0
 
 
+def test_ancestors_of_deep_chains_and_long_cycles(spark):
+    rows = [(f"c{k}", f"c{k + 1}" if k < 99 else None) for k in range(100)] + [(f"r{k}", f"r{(k + 1) % 70}") for k in range(70)]
+    found = {(r["id"], r["ancestor"]): r["depth"] for r in graph.ancestors(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    wanted = {(f"c{a}", f"c{b}"): b - a for a in range(100) for b in range(a + 1, 100)}
+    wanted |= {(f"r{a}", f"r{b}"): (b - a) % 70 or 70 for a in range(70) for b in range(70)}
+    assert found == wanted
+
+
 def test_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("c", "e"), ("f", "f")], "a string, b string")
     assert {r["id"] for r in graph.on_cycle(links).collect()} == {"a", "b", "c", "f"}
