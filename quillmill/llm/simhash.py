@@ -2,35 +2,42 @@
 
 Fingerprints of at most `radius` differing bits are linked, none missed:
 
-* equal fingerprints are one class, known by its smallest doc_id;
-* of radius + 2 blocks of bits at least two agree when at most `radius` bits differ, so
-  classes meet under each pair of blocks;
-* each fingerprint has a table of its Hamming distances to reference fingerprints
-  (pivots).  By the triangle inequality distances of linked fingerprints differ by at
-  most `radius` in every coordinate.  Cells of the first two coordinates are part of
-  the key under which classes meet, with a class standing in each cell its linked
-  partners may have, which splits large meetings; all coordinates discard pairs by
-  their maximum difference, and survivors are verified bit by bit.
+* equal fingerprints are one class;
+* each class has a table of its Hamming distances to reference fingerprints (pivots).
+  The pivots are a ladder: the t-th is the base fingerprint with its first t bits turned
+  over.  From one rung to the next a distance goes up or down by one, and it goes the same
+  way for two fingerprints unless they differ in that bit.  So of radius + a stretches of
+  the ladder at least a are climbed alike by fingerprints of at most `radius` differing
+  bits: classes meet under the way their distances go along each choice of a stretches.
+  a follows from the number of classes, so meetings stay small as the corpus grows;
+* in a meeting pairs are discarded whose tables of distances to further, unrelated pivots
+  differ by more than `radius` in any coordinate (the triangle inequality), and survivors
+  are verified bit by bit;
+* meetings of more than `SPLIT` classes are dealt out as pairs of blocks, so none meets in
+  one task.
 
 A meeting gives links that span its linked groups, not all its pairs, so a large
-group of near copies costs about its size.  Components of the links give the classes'
-smallest doc_id.  Python only hashes the shingles and compares within meetings.
+group of near copies costs about its size.  Components of the links follow.  Python only
+hashes the shingles, measures distances and compares within meetings.
 
 Null and empty texts have fingerprint zero and are linked like others.  Texts of fewer
 words than a shingle count as one shingle.  Very long texts are hashed in blocks of
-shingles.  Rows with an equal doc_id share its class.  Extra columns are ignored.
+shingles.  Rows are documents of their own, with an equal doc_id or a null one too: a row
+without an id is compared like others, and its component's id is null only if no row of the
+component has one.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import short_batches, table, written
@@ -40,32 +47,94 @@ RADIUS = 4
 WORDS = 4
 SEED = 42
 PIVOTS = 16
+BITS = 64
 #: Meetings larger than this are searched from one member outwards.
 SMALL = 48
+#: Classes of one block of a meeting; larger meetings are dealt out by pairs of blocks.
+SPLIT = 4096
+#: What sending one row to a meeting costs, in comparisons of pairs.
+ROW_COST = 50
 SHINGLES_AT_ONCE = 200_000
 
 
 @functools.cache
 def pivots() -> np.ndarray:
-    """Reference fingerprints: hashes of their number, far from each other as random bits are."""
+    """Reference fingerprints that are far from each other, as random bits are."""
     return np.array([xxhash.xxh64_intdigest(f"pivot {k}".encode(), SEED) for k in range(PIVOTS)], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    plain = b" ".join((text or "").encode().lower().split())
+@functools.cache
+def ladder() -> np.ndarray:
+    """Reference fingerprints each of which has one more bit turned over than the one before."""
+    base = xxhash.xxh64_intdigest(b"ladder", SEED)
+    return np.array([base ^ ((1 << t) - 1) for t in range(BITS + 1)], np.uint64)
+
+
+def distances(fp: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """The pivot distance table: references by fingerprints."""
+    return np.stack([np.bitwise_count(fp ^ p).astype(np.int16) for p in references])
+
+
+def stretches(classes: int, radius: int) -> int:
+    """How many stretches of the ladder a key holds: the number that costs least, in rows
+    sent to meetings and in pairs compared there."""
+
+    def cost(a: int) -> float:
+        return math.comb(radius + a, a) * (ROW_COST + classes / 2 ** (BITS * a / (radius + a)))
+
+    return min(range(2, 9), key=cost)
+
+
+def cells(fp: np.ndarray, radius: int, agreeing: int) -> np.ndarray:
+    """Keys of fingerprints, fingerprints by choices of stretches: the steps that the
+    distances take along those stretches, and which they are."""
+    steps = (np.diff(distances(fp, ladder()), axis=0) > 0).astype(np.uint64)
+    count = radius + agreeing
+    edges = [BITS * k // count for k in range(count + 1)]
+    climbed = [sum((steps[t] << np.uint64(t - a) for t in range(a, b)), np.zeros(len(fp), np.uint64)) for a, b in itertools.pairwise(edges)]
+    out = []
+    for number, chosen in enumerate(itertools.combinations(range(count), agreeing)):
+        key = np.full(len(fp), number + 1, np.uint64)
+        for k in chosen:  # mixed, as many stretches do not fit into 64 bits beside the number
+            key = (key ^ climbed[k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out.append(key)
+    return np.stack(out, 1).view(np.int64)
+
+
+def plain_words(text: str | None) -> bytes:
+    """Lower-case words with one blank between them."""
+    return b" ".join((text or "").encode().lower().split())
+
+
+def shingle_hashes(plain: bytes, words: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, some at a time."""
     if not plain:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)
+    digest = xxhash.xxh64_intdigest
     if len(gaps) < words:
-        return xxhash.xxh64_intdigest(plain, SEED)
-    starts = np.concatenate([[0], gaps[: len(gaps) - words + 1] + 1]).tolist()
-    ends = np.append(gaps[words - 1 :], len(plain)).tolist()
-    digest, set_bits = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+        yield np.array([digest(plain, SEED)], "<u8")
+        return
+    starts = np.concatenate([[0], gaps[: len(gaps) - words + 1] + 1])
+    ends = np.append(gaps[words - 1 :], len(plain))
     for lo in range(0, len(starts), SHINGLES_AT_ONCE):
-        hi = min(len(starts), lo + SHINGLES_AT_ONCE)
-        hashes = np.fromiter([digest(plain[a:b], SEED) for a, b in zip(starts[lo:hi], ends[lo:hi], strict=True)], "<u8", hi - lo)
+        a, b = starts[lo : lo + SHINGLES_AT_ONCE].tolist(), ends[lo : lo + SHINGLES_AT_ONCE].tolist()
+        yield np.fromiter((digest(plain[x:y], SEED) for x, y in zip(a, b, strict=True)), "<u8", len(a))
+
+
+def of_hashes(parts: list[np.ndarray]) -> int:
+    """The fingerprint of a text with these shingle hashes."""
+    total, set_bits = sum(map(len, parts)), np.zeros(BITS, np.int64)
+    if not total:
+        return 0
+    for hashes in parts:
         set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_bits > total, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return of_hashes(list(shingle_hashes(plain_words(text), words)))
 
 
 def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -80,28 +149,22 @@ def fingerprints(df: DataFrame, words: int = WORDS) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _meetings(classes: DataFrame, radius: int) -> DataFrame:
-    """(key, fp, rep) for each pair of blocks and each pivot cell that the class stands in."""
-    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
-    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in itertools.pairwise(edges)]
-    tables = [F.lit(t << 32) + F.shiftleft(x, 16) + y for t, (x, y) in enumerate(itertools.combinations(block, 2))]
+def _meetings(classes: DataFrame, radius: int, agreeing: int) -> DataFrame:
+    """(key, fp, rep) for each choice of stretches."""
 
-    def cells(k: int) -> Column:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(pivots()[k].view(np.int64)))))
-        size = 2 * radius + 1
-        return F.array_distinct(F.array(F.floor(d / size), F.floor((d + radius) / size)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            keys = cells(fp.view(np.uint64), radius, agreeing)
+            each = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp, each)), pa.array(np.repeat(batch.column(1).to_numpy(), each))], ["key", "fp", "rep"])
 
-    return (
-        classes.withColumn("table", F.explode(F.array(*tables)))
-        .withColumn("c0", F.explode(cells(0)))
-        .withColumn("c1", F.explode(cells(1)))
-        .select((F.col("table") * 4096 + F.col("c0") * 64 + F.col("c1")).alias("key"), "fp", "rep")
-    )
+    return classes.select("fp", "rep").mapInArrow(run, "key bigint, fp bigint, rep bigint")
 
 
-def _near(fp: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the pairs (a, b) are linked: first by pivot distances, then bit by bit."""
-    for k in range(PIVOTS):
+def near(fp: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs (a, b) are linked: first by their tables of distances, then bit by bit."""
+    for k in range(len(far)):
         keep = np.abs(far[k, a] - far[k, b]) <= radius
         a, b = a[keep], b[keep]
     keep = np.bitwise_count(fp[a] ^ fp[b]) <= radius
@@ -112,7 +175,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tup
     """Links that span the linked groups of each run of equal keys."""
     bounds = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key))
     sizes = np.diff(bounds)
-    far = np.stack([np.bitwise_count(fp ^ p).astype(np.int16) for p in pivots()])
+    far = distances(fp, pivots())
     out: list[tuple[np.ndarray, np.ndarray]] = []
     small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     at = np.flatnonzero(small)
@@ -121,7 +184,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tup
         at = at[key[at + step] == key[at]]
         if not len(at):
             break
-        a, b = _near(fp, far, at, at + step, radius)
+        a, b = near(fp, far, at, at + step, radius)
         out.append((rep[a], rep[b]))
     for g in np.flatnonzero(sizes > SMALL):
         left = np.arange(bounds[g], bounds[g + 1])
@@ -131,7 +194,7 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tup
             reached = [seed]
             while reached and len(left):
                 x = reached.pop()
-                _, found = _near(fp, far, np.full(len(left), x), left, radius)
+                _, found = near(fp, far, np.full(len(left), x), left, radius)
                 if len(found):
                     out.append((rep[found], np.full(len(found), rep[seed])))
                     reached += found.tolist()
@@ -142,7 +205,8 @@ def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tup
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """classes: (fp, rep), one row per fingerprint.  Returns links (a, b) between reps."""
+    """classes: (fp, rep), one row per fingerprint; it is read several times, so it should
+    be a written table.  Returns links (a, b) between reps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the rows of the last key, which may go on in the next batch
@@ -167,17 +231,26 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield from emit(np.ascontiguousarray(np.concatenate(held, axis=1)))
 
-    dealt = _meetings(classes, radius).repartition("key").sortWithinPartitions("key")
+    met = _meetings(classes, radius, stretches(classes.count(), radius))
+    crowded = written(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT))
+    # a crowded meeting becomes a meeting of each two of its blocks
+    blocks = F.ceil(F.col("n") / SPLIT).cast("int")
+    split = met.join(crowded, "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    split = split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "rep")
+    dealt = met.join(crowded, "key", "left_anti").unionByName(split).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each document."""
     found = written(fingerprints(df, words))
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    parts = connected_components(links(classes, radius))
-    named = classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = connected_components(links(classes.select("fp", F.col("fp").alias("rep")), radius))
+    named = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    heads = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    # written, so that the join deals both sides anew and a large class can be split
+    heads = written(named.join(heads, "part").select("fp", "component_id"))
+    return found.join(heads, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
