@@ -7,8 +7,10 @@ a heap holds the adjacent pairs by rank, and the best pair is merged until none
 left.  Python does the work because neither tier is a relational operation; each
 distinct pre-token of a slice of texts is encoded once.
 
-Texts: null counts as empty and has no ids.  Very long texts are split as a whole;
-extra columns pass through `encode` untouched.
+Texts: null counts as empty and has no ids.  Very long texts are encoded in parts that
+end where a pre-token does, so only their ids are held whole.  Null ids and repeated rows
+are coded like others, each by itself; an empty table gives an empty result; extra columns
+pass through `encode` untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import pretokens
-from quillmill.llm.common import short_batches, slices, spans, table
+from quillmill.llm.common import SLICE_CHARS, cuts, short_batches, slices, spans, table
 
 #: Encodings of distinct pre-tokens that a worker keeps between batches.
 CACHE_ENTRIES = 400_000
@@ -82,25 +84,32 @@ class PerfectHash:
 
 
 def encode_texts(texts: list[str], encode_words) -> list[np.ndarray]:
-    """Ids of each text; encode_words gives those of distinct pre-tokens as bytes."""
+    """Ids of each text; encode_words gives those of distinct pre-tokens as bytes.  A very
+    long text is encoded in parts that end where a pre-token does."""
     out: list[np.ndarray] = []
     for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts))):
-        tokens, counts = pretokens.split(texts[lo:hi])
-        if not len(tokens):
-            out += [np.zeros(0, "<u4")] * (hi - lo)
-            continue
-        coded = tokens.dictionary_encode()
-        found = encode_words(coded.dictionary.to_pylist())
-        index = coded.indices.to_numpy()
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        each = lengths[index]
-        ids = flat[spans((np.cumsum(lengths) - lengths)[index], each)]
-        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
-        out += np.split(ids, ends[:-1])
+        if hi == lo + 1 and len(texts[lo]) > SLICE_CHARS:
+            out.append(np.concatenate([_encoded([x], encode_words)[0] for x in cuts(texts[lo], SLICE_CHARS)]))
+        else:
+            out += _encoded(texts[lo:hi], encode_words)
     return out
 
 
+def _encoded(texts: list[str], encode_words) -> list[np.ndarray]:
+    tokens, counts = pretokens.split(texts)
+    if not len(tokens):
+        return [np.zeros(0, "<u4")] * len(texts)
+    coded = tokens.dictionary_encode()
+    found = encode_words(coded.dictionary.to_pylist())
+    index = coded.indices.to_numpy()
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), "<u4")
+    each = lengths[index]
+    ids = flat[spans((np.cumsum(lengths) - lengths)[index], each)]
+    ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
+    return np.split(ids, ends[:-1])
+
+
 class Coder:
     def __init__(self, path: str):
         with open(path, "rb") as f:

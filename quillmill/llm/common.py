@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of one Arrow batch sent to Python.  Texts differ in length by orders of
-#: magnitude, so a batch is kept short; bytes are bounded again by `slices`.
+#: Rows and bytes of one Arrow batch sent to Python; a longer row is a batch of its own.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 
 #: Characters that one vectorised step works on at once.
 SLICE_CHARS = 3_000_000
 
-#: A side with more rows than this is joined by shuffle and never broadcast.
-BROADCAST_ROWS = 2_000_000
+#: A side of more bytes than this is joined by shuffle and never broadcast.
+BROADCAST_BYTES = 64 << 20
+
+#: Where a text can be cut between two words that no pattern of words or pre-tokens joins.
+BOUND = re.compile(r"(?<=\S)(?:\n| (?=\S))")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, for the Python operators."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds what one Arrow batch holds, for the Python operators.  The setting is read
+    when a plan runs, so it stays for the session; a smaller one of the caller is kept."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # Spark's own form; others are the caller's
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (tests on one machine), a folder made once for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is
+    unset and all run on this machine, a folder made once for the session."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillmill.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("quillmill.shared.dir", found)
     return found
@@ -42,10 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again.  This cuts the lineage in a
-    way that survives lost executors and is the one place where work is shared."""
+    way that survives lost executors and is the one place where work is shared.  What
+    `discard` has not deleted goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,14 +74,26 @@ def discard(*frames: DataFrame) -> None:
                 folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """Marks df for broadcast if its bytes, as counted by the caller, are within the bound."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def cuts(text: str, most: int) -> Iterator[str]:
+    """The parts of a text, of `most` characters and a word at most where it has bounds of words."""
+    start = 0
+    while len(text) - start > most:
+        found = BOUND.search(text, start + most)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
 
 
 def slices(lengths: np.ndarray, most: int = SLICE_CHARS):
     """Ranges of consecutive rows whose lengths add up to about `most`; one longer row
-    is a range of its own."""
+    is a range of its own, which `cuts` takes apart."""
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > most:
