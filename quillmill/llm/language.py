@@ -9,8 +9,10 @@ as long as the maximised likelihood gains more than the penalty for one more
 proportion.  The prediction is the largest share within the chosen set.
 
 Counting the n-grams and the inference run in Python over Arrow batches, on arrays of
-code points: n-gram hashes, gathers and segmented sums have no DataFrame form.  The
-model is a fixed number of buckets by languages.  It learns from a bounded sample,
+code points: n-gram hashes, gathers and segmented sums have no DataFrame form.  Each
+distinct word of a slice of texts is scored once, and a document is the counts of its
+distinct words; a very long text is read in parts, so memory follows its distinct words.
+The model is a fixed number of buckets by languages.  It learns from a bounded sample,
 about `SAMPLE` documents of each language chosen by a hash of doc_id; predictions cover
 every whole text.
 
@@ -31,11 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import short_batches, slices, spans, table
+from quillmill.llm.common import cuts, short_batches, slices, spans, table
 
 UNKNOWN = "und"
+#: Characters that one vectorised step works on at once.
+SLICE = 1_000_000
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
+#: Marks between words, so that no n-gram reaches into the word before.
+GAP = max(ORDERS) - 2
 #: Documents of each language that the model learns from, about.
 SAMPLE = 1500
 SMOOTHING = 0.5
@@ -75,6 +83,48 @@ def words_of(texts: list[str]) -> Words:
     return Words(np.where(letter, points, 0), starts, ends, np.searchsorted(np.cumsum(lengths), starts, "right"))
 
 
+def hashes(words: Words, length: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, or of its first letters; stems hash unlike words."""
+    n = len(words.points)
+    power, inverse = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+    power[0] = inverse[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.points * np.cumprod(power), dtype=np.uint64)])
+    ends = words.ends if length is None else np.minimum(words.starts + length, words.ends)
+    out = (sums[ends] - sums[words.starts]) * np.cumprod(inverse)[words.starts]
+    out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length or 0)
+    return out ^ out >> np.uint64(32)
+
+
+def distinct(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, GAP marks apart, and of each text: its number, its
+    distinct words' places among them, and how often it has them; by text, then by word."""
+    known, runs, sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    docs, words_, counts = [], [], []
+    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
+        for part in [texts[lo:hi]] if hi > lo + 1 else ([x] for x in cuts(texts[lo], SLICE)):
+            words = words_of(part)
+            own, first, place = np.unique(hashes(words), return_index=True, return_inverse=True)
+            new = ~np.isin(own, known)
+            a, b = words.starts[first[new]], words.ends[first[new]]
+            runs = np.concatenate([runs, words.points[spans(a, b - a)]])
+            sizes = np.concatenate([sizes, b - a])
+            known = np.concatenate([known, own[new]])
+            order = np.argsort(known)
+            index = order[np.searchsorted(known, own, sorter=order)]
+            pair, n = np.unique(words.doc.astype(np.int64) << 32 | index[place], return_counts=True)
+            docs.append((pair >> 32) + lo)
+            words_.append(pair & 0xFFFFFFFF)
+            counts.append(n)
+    doc, word, count_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, words_, counts))
+    if len(docs) > 1:  # the parts of a long text meet
+        pair, where = np.unique(doc << 32 | word, return_inverse=True)
+        doc, word, count_ = pair >> 32, pair & 0xFFFFFFFF, np.bincount(where, count_, len(pair)).astype(np.int64)
+    points = np.zeros(len(runs) + GAP * (len(sizes) + 1), np.uint32)
+    starts = np.cumsum(sizes + GAP) - sizes
+    points[spans(starts, sizes)] = runs
+    return Words(points, starts, starts + sizes, np.zeros(len(sizes), np.int64)), doc, word, count_
+
+
 def _grams(points: np.ndarray, order: int) -> np.ndarray:
     """Bucket of the n-gram that ends at each place."""
     h = np.full(len(points), order, np.uint32)
@@ -91,12 +141,16 @@ def _first(words: Words, order: int) -> np.ndarray:
 
 def count(texts: list[str]) -> np.ndarray:
     """Counts of n-grams in all buckets, all orders together."""
-    words = words_of(texts)
     out = np.zeros(BUCKETS, np.int64)
+    words, _, word, n = distinct(texts)
+    if not len(word):
+        return out
+    often = np.bincount(word, n, len(words.starts))
     for order in ORDERS:
         grams = _grams(words.points, order)
         first = _first(words, order)
-        out += np.bincount(grams[spans(first, words.ends + 1 - first)], minlength=BUCKETS)
+        many = words.ends + 1 - first
+        out += np.bincount(grams[spans(first, many)], np.repeat(often, many), BUCKETS).astype(np.int64)
     return out
 
 
@@ -145,26 +199,31 @@ def fit(df: DataFrame, label: Column, sample: int = SAMPLE) -> Model:
 def likelihoods(words: Words, model: Model) -> np.ndarray:
     """Log-likelihood of each word under each language, up to a constant for the word."""
     out = np.zeros((len(words.starts), len(model.languages)), np.float32)
-    bounds = np.stack([words.starts, words.ends + 1], 1).ravel()
-    for order in ORDERS:
-        bounds[::2] = _first(words, order)
-        at = model.logs[_grams(words.points, order)]
-        out += np.add.reduceat(at, bounds, axis=0)[::2]
+    ends = words.ends + 1
+    for lo, hi in slices(ends - words.starts, SLICE):
+        begin = words.starts[lo] - GAP
+        points = words.points[begin : ends[hi - 1]]
+        bounds = np.stack([words.starts[lo:hi] - begin, ends[lo:hi] - begin], 1).ravel()
+        for order in ORDERS:
+            bounds[::2] = _first(words, order)[lo:hi] - begin
+            at = model.logs[np.append(_grams(points, order), 0)]
+            out[lo:hi] += np.add.reduceat(at, bounds, axis=0)[::2]
     out *= WEIGHT
     return np.maximum(out - out.max(1, keepdims=True), -CLIP)
 
 
-def _mixture(like: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM for all documents at once: shares and maximised log-likelihoods.  allowed:
-    documents by languages that may have a share."""
+def _mixture(like: np.ndarray, times: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, start: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for all documents at once: shares and maximised log-likelihoods.  like: of each
+    document's distinct words, which it has so many times; allowed: documents by
+    languages that may have a share."""
     share = np.where(allowed, start, 0)
     share /= share.sum(1, keepdims=True)
     extra = PRIOR * share
     for _ in range(ROUNDS if allowed.sum(1).max(initial=1) > 1 else 0):
         joint = like * share[doc]
-        joint /= joint.sum(1, keepdims=True)
+        joint *= (times / joint.sum(1))[:, None]
         share = (np.add.reduceat(joint, first, axis=0) + extra) / (n + PRIOR)[:, None]
-    fit_ = np.add.reduceat(np.log((like * share[doc]).sum(1) + 1e-20), first)
+    fit_ = np.add.reduceat(times * np.log((like * share[doc]).sum(1) + 1e-20), first)
     return share, fit_
 
 
@@ -173,27 +232,28 @@ def predict(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     label, score = np.full(len(texts), -1), np.zeros(len(texts))
     if not model.languages:
         return label, score
-    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1_000_000):
-        words = words_of(texts[lo:hi])
-        if not len(words.starts):
+    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
+        words, doc, word, times = distinct(texts[lo:hi])
+        if not len(doc):
             continue
-        which, first, n = np.unique(words.doc, return_index=True, return_counts=True)
-        doc = np.repeat(np.arange(len(which)), n)
-        like = np.exp(likelihoods(words, model))
+        which, first, kinds = np.unique(doc, return_index=True, return_counts=True)
+        doc = np.repeat(np.arange(len(which)), kinds)
+        n = np.add.reduceat(times, first)
+        like = np.exp(likelihoods(words, model))[word]
         start = np.broadcast_to(model.prior, (len(which), len(model.languages)))
-        everything, _ = _mixture(like, doc, first, n, start, np.ones_like(start, bool))
+        everything, _ = _mixture(like, times, doc, first, n, start, np.ones_like(start, bool))
         order = np.argsort(-everything, axis=1, kind="stable")
         allowed = np.zeros(start.shape, bool)
         allowed[np.arange(len(which)), order[:, 0]] = True
-        best_share, best = _mixture(like, doc, first, n, everything, allowed)
+        best_share, best = _mixture(like, times, doc, first, n, everything, allowed)
         rows, own = np.arange(len(which)), np.arange(len(doc))  # documents whose set still grows, and their words
         for size in range(1, order.shape[1]):
             if not len(rows):
                 break
             allowed[rows, order[rows, size]] = True
-            many = n[rows]
-            share, fit_ = _mixture(like[own], np.repeat(np.arange(len(rows)), many), np.cumsum(many) - many, many, np.maximum(everything[rows], 1e-6), allowed[rows])
-            value = fit_ - PENALTY * size * np.log(many + 1)
+            many = kinds[rows]
+            share, fit_ = _mixture(like[own], times[own], np.repeat(np.arange(len(rows)), many), np.cumsum(many) - many, n[rows], np.maximum(everything[rows], 1e-6), allowed[rows])
+            value = fit_ - PENALTY * size * np.log(n[rows] + 1)
             grown = value > best[rows]
             rows, own = rows[grown], own[np.repeat(grown, many)]
             best[rows], best_share[rows] = value[grown], share[grown]

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import short_batches, slices, table, written
-from quillmill.llm.language import Words, words_of
+from quillmill.llm.common import cuts, discard, short_batches, slices, table, written
+from quillmill.llm.language import SLICE, Words, hashes, words_of
 
 #: Labelled documents of each class that the model learns from, about.
 SAMPLE = 4000
@@ -44,26 +44,12 @@ DRIFT = 0.05
 #: Segments expected more often than this by chance are left out.
 CHANCE = 0.05
 THRESHOLD = 0.3
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def _hashes(words: Words, length: int | None = None) -> np.ndarray:
-    """A 64-bit hash of each word, or of its first letters; stems hash unlike words."""
-    n = len(words.points)
-    power, inverse = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.points * np.cumprod(power), dtype=np.uint64)])
-    ends = words.ends if length is None else np.minimum(words.starts + length, words.ends)
-    out = (sums[ends] - sums[words.starts]) * np.cumprod(inverse)[words.starts]
-    out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length or 0)
-    return out ^ out >> np.uint64(32)
 
 
 def _tokens(words: Words) -> list[np.ndarray]:
     """Hashes of the words and of their stems; 0 where a word is no longer than the stem."""
     size = words.ends - words.starts
-    return [_hashes(words), *(np.where(size > k, _hashes(words, k), np.uint64(0)) for k in STEMS)]
+    return [hashes(words), *(np.where(size > k, hashes(words, k), np.uint64(0)) for k in STEMS)]
 
 
 @dataclasses.dataclass
@@ -107,8 +93,13 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def scan(texts: list[str], model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """Number of words and the segments of each text."""
-    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), 1_000_000):
+    """Number of words and the segments of each text.  A very long text is scored in parts
+    and searched as a whole."""
+    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
+        if hi == lo + 1:
+            own = np.concatenate([model.token_scores(words_of([x])) for x in cuts(texts[lo], SLICE)]) - DRIFT
+            yield len(own), segments(own)
+            continue
         words = words_of(texts[lo:hi])
         scores = model.token_scores(words) - DRIFT
         bounds = np.searchsorted(words.doc, np.arange(hi - lo + 1))
@@ -159,6 +150,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _documents_with(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of words and of stems of each length: the level, tokens, and in how many of the texts they are."""
+    for lo, hi in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
+        parts = [texts[lo:hi]] if hi > lo + 1 else ([x] for x in cuts(texts[lo], SLICE))
+        found: list[list[np.ndarray]] = [[] for _ in (0, *STEMS)]
+        for part in parts:
+            words = words_of(part)
+            for level, h in enumerate(_tokens(words)):
+                found[level].append(np.unique(np.stack([h, words.doc.astype(np.uint64)], 1)[h != 0], axis=0))
+        for level, pairs in enumerate(found):
+            yield level, *np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+
+
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """df: doc_id, text; labels: doc_id, toxic, only rows to learn from."""
     spark = df.sparkSession
@@ -179,12 +183,8 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for c in (0, 1):
                 own = [t for t, x in zip(texts, toxic, strict=True) if x == c]
-                for lo, hi in slices(np.fromiter(map(len, own), np.int64, len(own))):
-                    words = words_of(own[lo:hi])
-                    for level, h in enumerate(_tokens(words)):
-                        pairs = np.unique(np.stack([h, words.doc.astype(np.uint64)], 1)[h != 0], axis=0)
-                        h, n = np.unique(pairs[:, 0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), level, np.int32)), pa.array(h.view(np.int64)), pa.array(n * (c == 1)), pa.array(n * (c == 0))], ["level", "hash", "y1", "y0"])
+                for level, h, n in _documents_with(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), level, np.int32)), pa.array(h.view(np.int64)), pa.array(n * (c == 1)), pa.array(n * (c == 0))], ["level", "hash", "y1", "y0"])
 
     all_counts = written(single.mapInArrow(counted, "level int, hash bigint, y1 bigint, y0 bigint").groupBy("level", "hash").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")))
     totals = {r["toxic"]: float(r["n"]) for r in single.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
