@@ -14,14 +14,22 @@ The plan works on runs of equal pieces and equal sequences, so it is a short tab
 rank among pieces of that length; ranks are counted within hash buckets and shifted by
 the counts before, so no length, however common, meets in one task.
 
-Null texts count as empty: one piece holding only the end token.  Rows with equal ids
-or texts are packed separately.  An empty table gives an empty result.
+The tokens that the vocabulary file adds to its entries are found first, wherever their
+strings stand in a text, and the text between them is encoded by itself, as the
+`tokenizers` library does.
+
+Null texts count as empty: one piece holding only the end token.  Rows with equal or null
+ids or with equal texts are packed separately, and equal pieces are told apart by nothing
+but their place.  Very long texts are encoded in parts.  Extra columns are ignored.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -140,8 +148,14 @@ class _Ids:
 
         classes()
         with open(path) as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         self.vocabulary = model["vocab"]
+        #: Strings that are one id wherever they stand.
+        self.added = {x["content"]: x["id"] for x in file.get("added_tokens") or ()}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in file.get("added_tokens") or ()):
+            raise ValueError("added tokens that depend on what stands beside them")
+        self.split = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         letters = _byte_letters()
         ranks = {}
         for word, i in self.vocabulary.items():
@@ -155,6 +169,23 @@ class _Ids:
         self.new_line = ranks[NEW_LINE]
         self.cache: dict[bytes, bytes] = {}
 
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        from quillmill.llm.bpe import encode_texts
+
+        found = encode_texts([x if not self.split.search(x) else "" for x in texts], self.words)
+        for k, text in enumerate(texts):
+            if self.split.search(text):
+                parts, at = [], 0
+                for m in self.split.finditer(text):
+                    parts += [text[at : m.start()], m[0]]
+                    at = m.end()
+                parts.append(text[at:])
+                between = encode_texts(parts[::2], self.words)
+                added = [np.array([self.added[x]], "<u4") for x in parts[1::2]]
+                found[k] = np.concatenate([x for both in itertools.zip_longest(between, added, fillvalue=np.zeros(0, "<u4")) for x in both])
+        return found
+
     def words(self, words: list[bytes]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
@@ -197,12 +228,10 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillmill.llm.bpe import encode_texts
-
         ids = _ids(path)
         for batch in batches:
             out: list[tuple] = []
-            coded = encode_texts([x or "" for x in batch.column(1).to_pylist()], ids.words)
+            coded = ids.texts([x or "" for x in batch.column(1).to_pylist()])
             for doc, own in zip(batch.column(0).to_pylist(), coded, strict=True):
                 own = np.append(own, np.uint32(end_id)).astype("<u4")
                 first = len(own) % capacity or min(len(own), capacity)

@@ -102,10 +102,28 @@ def tokens(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_are_the_library_s_with_added_tokens():
+    texts = ["<|endoftext|> x", "x <|endoftext|>", "a <|endoftext|><|endoftext|> \n b", "<|endoftext|>", "<|endoftext |>", " don't <|endoftext|>'ll", ""]
+    coder = packing._ids(vocabulary_path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in coder.texts(texts)] == [tokens(x) for x in texts]
+    assert tokens(texts[0]) == [50256, 2124]
+
+
+def test_very_long_texts_are_encoded_in_parts(monkeypatch):
+    r = random.Random(3)
+    pieces = ["word", " it's", "\n", "  ", "\t", "12", "-!", "é", " 中", "　", " '", "\x1c", "\u0085", "<|endoftext|>", " ' s"]
+    long = "".join(r.choice(pieces) for _ in range(30_000))
+    ids = packing._ids(vocabulary_path("byte_bpe_50k.json"))
+    whole, own = ids.texts([long])[0].tolist(), bpe.coder(RANKS).encode([long])[0].tolist()
+    assert whole == tokens(long) and own == library().encode_ordinary(long)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 500)
+    monkeypatch.setattr(bpe, "slices", lambda lengths: ((k, k + 1) for k in range(len(lengths))))
+    assert ids.texts([long])[0].tolist() == whole and bpe.coder(RANKS).encode([long])[0].tolist() == own
+
+
 def test_op10(spark, tables, odd_documents):
     found = packing.op10_packing(spark, tables(documents=odd_documents)).collect()
     wanted = []
