@@ -1,7 +1,6 @@
 """Near-duplicate vectors by lattice hashing.
 
-* Equal vectors are one class, known by its smallest vec_id and counted as often as it
-  occurs.
+* Equal vectors are one class, counted as often as it occurs.
 * In each of several tables, two groups of eight random orthogonal projections are
   decoded to points of the E8 lattice; the pair of points is the vector's cell.  The
   vector also stands in the neighbouring cells it is nearest to.
@@ -9,7 +8,8 @@
   pair counts where it first meets, in the order of tables and cells, so no pair is
   listed and none counts twice.
 * A crowded cell is split into blocks of members, and pairs of blocks are compared as
-  matrix products, so no cell, however full, meets in one task.
+  matrix products, so no cell, however full, meets in one task.  A cell of n classes
+  sends each vector n / BLOCK times and compares all its pairs: counts of links are exact.
 * What leaves a task is, for each member, its number of links and one link to the
   least member it is connected with there.  Components of those links follow.
 
@@ -17,8 +17,10 @@ Links are exact; which pairs meet is a matter of chance, with a recall above 0.9
 the threshold for `TABLES` tables (tests/llm measure it against brute force).
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with
-nothing.  Vectors of different lengths never link.  Rows with an equal vec_id count as
-vectors of their own.  An empty table gives an empty result.
+nothing.  Vectors of different lengths never link.  Rows are vectors of their own, with an
+equal vec_id or a null one too: the component of a row is the smallest vec_id that links
+lead to, and null only if none of its rows has one.  Extra columns are ignored.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ PROBES = 4
 SCALE = 0.22
 SEED = 7
 #: Members of one block of a crowded cell, and rows compared at once.
-BLOCK = 256
+BLOCK = 1024
 ROWS = 4096
 SMALL = 32
 
@@ -167,7 +169,8 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     finite = F.forall("wide", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("wide").isNotNull() & finite & F.exists("wide", lambda x: x != 0)
     rows = own.withColumn("embedding", F.when(good, F.col("embedding"))).select("vec_id", "embedding")
-    classes = written(rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    single = rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
+    classes = written(single.withColumn("rep", F.monotonically_increasing_id()))  # numbers that are fixed once they are written
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +185,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     met = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("rep", "key", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = met.join(classes, "rep").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", F.size("embedding"), "rep")
+    dealt = met.join(classes.drop("least"), "rep").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", F.size("embedding"), "rep")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -204,15 +207,17 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = written(columns.mapInArrow(compared, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.join(named, "embedding", "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+    heads = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    told = named.join(heads, "part").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id", F.lit(True).alias("linked"))
+    joined = rows.join(told, "embedding", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 QUERIES = {"op7_vectors": op7_vectors}

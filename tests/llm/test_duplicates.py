@@ -180,6 +180,38 @@ def test_op7(spark, tables):
     assert neardup.op7_vectors(spark, tables(embeddings=df.limit(0))).count() == 0
 
 
+def test_op7_null_and_repeated_ids(spark, tables):
+    v = lambda *x: [*map(float, x)]
+    a, near_a, b, c, near_c = v(1, 0, 0, 0, 0, 0, 0, 0), v(1, 0.1, 0, 0, 0, 0, 0, 0), v(0, 1, 0, 0, 0, 0, 0, 0), v(0, 0, 1, 0, 0, 0, 0, 0), v(0, 0, 1, 0.1, 0, 0, 0, 0)
+    data = [(None, a, "x"), (5, near_a, "x"), (5, b, "x"), (None, c, "x"), (None, near_c, "x"), (9, b, None), (None, None, None), (7, None, "x"), (5, near_a, "x")]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, links string").withColumn("rep", F.lit("clash")).withColumn("key", F.lit(1))
+    found = sorted(map(repr, ((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in neardup.op7_vectors(spark, tables(embeddings=df)).collect())))
+    wanted = [(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (5, 1, 5, True), (9, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (7, 0, 7, True)]
+    assert found == sorted(map(repr, wanted))
+
+
+def test_op9_null_ids_and_clashing_columns(spark, tables):
+    r = random.Random(11)
+    text = lambda: " ".join(str(r.randrange(500)) for _ in range(300))
+    a, b, c = text(), text(), text()
+    rows = [(None, a), (4, a), (None, b), (None, b + " "), (7, c), (7, a), (2, None), (None, ""), (3, " \n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("fp", F.lit("x")).withColumn("rep", F.lit(1)).withColumn("key", F.lit(None).cast("string"))
+    found = sorted(map(repr, ((x["doc_id"], x["fingerprint"], x["component_id"]) for x in simhash.op9_simhash(spark, tables(documents=df)).collect())))
+    named = {a: 4, b: None, b + " ": None, c: 7, None: 2, "": 2, " \n": 2}
+    assert found == sorted(map(repr, ((i, f"{brute_fingerprint(t):016x}", named[t]) for i, t in rows)))
+
+
+def test_crowded_meetings_are_split_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 8)
+    r = random.Random(5)
+    centre = r.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << b for b in r.sample(range(20), r.randint(0, 9))) for _ in range(300)})
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(prints)], "fp bigint, rep bigint")
+    found = {x["node"]: x["component"] for x in connected_components(simhash.links(df, 2)).collect()}
+    wanted = roots(range(len(prints)), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    assert {k: found.get(k, k) for k in wanted} == wanted
+
+
 def test_crowded_cells_are_split_exactly(spark, tables, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     r = np.random.default_rng(5)
