@@ -9,7 +9,8 @@ boilerplate: they are removed from every document but the one with the smallest
 doc_id that holds them, so that no text vanishes from the corpus, not even one that
 was copied to many sites as a whole.
 
-Null texts stay null.  Null sites count for nothing.  Documents whose lines all go
+Lines are told apart by their 64-bit hash.  Null texts stay null.  Null sites count for
+nothing.  Documents whose lines all go
 keep an empty text.  Rows with equal ids are treated alike.  Lines of fewer than
 `chars` characters are left alone.  Extra columns pass through; an empty table gives
 an empty result.
@@ -27,6 +28,8 @@ CHARS = 20
 #: Base-2 log of a sketch's registers, and its standard error.
 SKETCH_BITS = 9
 ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+#: What a row of line hashes takes in a broadcast.
+LINE_BYTES = 48
 
 
 def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
@@ -36,9 +39,9 @@ def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
         sketched.select("hash", "first_doc", F.hll_sketch_estimate("sketch").alias("spread")).filter(F.col("spread") >= F.lit(sites * (1 - 3 * ERROR) - 0.5))
     )
     near = spread.filter(F.col("spread") <= F.lit(sites * (1 + 3 * ERROR) + 0.5))
-    seen = lines.join(maybe_broadcast(near.select("hash"), near.count()), "hash", "left_semi")
+    seen = lines.join(maybe_broadcast(near.select("hash"), LINE_BYTES * near.count()), "hash", "left_semi")
     exact = seen.groupBy("hash", "site").agg(F.count(F.lit(1))).groupBy("hash").agg(F.count("site").alias("exact")).filter(F.col("exact") >= sites)
-    sure = spread.join(near.select("hash"), "hash", "left_anti")
+    sure = spread.filter(F.col("spread") > F.lit(sites * (1 + 3 * ERROR) + 0.5))
     return sure.select("hash", "first_doc").unionByName(near.join(exact, "hash").select("hash", "first_doc"))
 
 
@@ -47,7 +50,7 @@ def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, chars:
     line = F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.char_length(x) >= chars))
     lines = written(df.select("doc_id", F.col(site).alias("site"), line.alias("line")).select("doc_id", "site", F.xxhash64("line").alias("hash")))
     common = written(boilerplate(lines, sites))
-    hits = lines.join(maybe_broadcast(common, common.count()), "hash").filter("doc_id <> first_doc")
+    hits = lines.join(maybe_broadcast(common, LINE_BYTES * common.count()), "hash").filter("doc_id <> first_doc")
     bad = written(hits.groupBy("doc_id", "hash").agg(F.count(F.lit(1))).groupBy("doc_id").agg(F.collect_list("hash").alias("_bad")))
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda x: ~((F.char_length(x) >= chars) & F.array_contains(F.col("_bad"), F.xxhash64(x))))
