@@ -34,6 +34,9 @@ _LETTER_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "
 _INDICATORS = "[{}]|>&*!%@`"
 
 
+_CLOSING = re.compile(rf"\n{FENCE}\r?(?=\n|\Z)")
+
+
 class HeaderError(ValueError):
     """A header that breaks the grammar; the line is counted from the start of the text."""
 
@@ -153,7 +156,9 @@ def _split_entry(text: str) -> tuple[str, str | None]:
 
 def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
     """The entries of a text's header, and its body."""
-    lines = text.split("\n")
+    # only the header is taken apart into lines, the body is what follows its closing fence
+    end = _CLOSING.search(text) if options.require_fence else None
+    lines = (text[: end.end()] if end else text).split("\n")
     ended = lines[-1] == ""  # a last line end starts no further line
     count = len(lines) - ended
     at = 0
@@ -233,7 +238,7 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
         raise HeaderError(opened, "missing block value")
     if options.require_fence and not closed:
         raise HeaderError(0, "missing closing delimiter")
-    body = "\n".join(lines[at:]) if at < len(lines) else ""
+    body = text[end.end() + 1 :] if end else "\n".join(lines[at:]) if at < len(lines) else ""
     if options.require_fence and options.trim_body:
         body = re.sub(r"\A(?:\r?\n)+", "", body)
     return entries, body

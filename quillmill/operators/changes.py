@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmill.plans.stage import written
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """Every key of either side with its action: inserted, updated, deleted or skipped.
@@ -84,25 +89,54 @@ def log_faults() -> Column:
 MACHINE = {"start": ("open", "in_progress"), "close": ("in_progress", "closed"), "reopen": ("closed", "open")}
 
 
+#: Ops of a key that are folded as one array.
+CHUNK = 256
+
+
 def transitions(events: DataFrame, key: str, order: list[str], op: str) -> DataFrame:
     """The status machine over a log of start, close and reopen.  An op is taken only from
     the status it leads out of; a key begins open.  Returns status after each op and
     whether it was taken.
 
-    The three statuses follow each other in a ring and each op moves along it by one, so
-    the position is folded over a key's ops in order with an aggregate over the array."""
+    The three statuses follow each other in a ring and each op moves along it by one.  A
+    key's ops in order are cut into chunks; a chunk is a map of the three statuses, the
+    maps of a key follow each other, and each chunk is then folded from the status it
+    begins with.  So no row holds more than a chunk, however long a key's log is."""
     ring = [MACHINE[o][0] for o in ("start", "close", "reopen")]
     number = F.when(F.col(op) == "start", 0).when(F.col(op) == "close", 1).when(F.col(op) == "reopen", 2)
     others = [c for c in events.columns if c != key]
-    rows = events.withColumn("_op", number).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "_op", *(c for c in others if c not in order)))).alias("_rows"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,taken:boolean>>").alias("out"))
+    placed = events.withColumn("_op", number).withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order, *(F.xxhash64(c) for c in others))))
+    held = F.struct("_n", "_op", *others)
+    chunks = placed.groupBy(key, F.floor((F.col("_n") - 1) / CHUNK).alias("_chunk")).agg(F.array_sort(F.collect_list(held)).alias("_rows"))
+
+    def moved(at: Column, row: Column) -> Column:
+        return F.when(row["_op"].eqNullSafe(at), F.pmod(at + 1, F.lit(3))).otherwise(at).cast("int")
+
+    ends = F.array(*(F.aggregate("_rows", F.lit(k), moved) for k in range(3)))
+    # written, as the maps are read twice: to find where each chunk begins, and to fold it
+    chunks = written(chunks.withColumn("_ends", ends))
+
+    @F.pandas_udf("array<int>")
+    def begins(maps: pd.Series) -> pd.Series:
+        def of_key(own: np.ndarray) -> list[int]:
+            at, out = 0, []
+            for ends in own:
+                out.append(at)
+                at = int(ends[at])
+            return out
+
+        return maps.map(of_key)
+
+    maps = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ends"))).alias("_maps"))
+    first = maps.select(key, F.posexplode(begins(F.transform("_maps", lambda x: x["_ends"]))).alias("_chunk", "_at"))
+    started = chunks.join(first.withColumn("_chunk", F.col("_chunk").cast("bigint")), [key, "_chunk"])
+    zero = F.struct(F.col("_at").cast("int").alias("at"), F.array().cast("array<struct<at:int,taken:boolean>>").alias("out"))
 
     def step(state: Column, row: Column) -> Column:
-        taken = F.coalesce(row["_op"] == state["at"], F.lit(False))
-        at = F.when(taken, F.pmod(state["at"] + 1, F.lit(3))).otherwise(state["at"]).cast("int")
-        return F.struct(at.alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("at"), taken.alias("taken")))).alias("out"))
+        at = moved(state["at"], row)
+        return F.struct(at.alias("at"), F.concat(state["out"], F.array(F.struct(at.alias("at"), (at != state["at"]).alias("taken")))).alias("out"))
 
-    folded = rows.withColumn("_out", F.aggregate("_rows", zero, step)["out"])
+    folded = started.withColumn("_out", F.aggregate("_rows", zero, step)["out"])
     flat = folded.select(key, F.explode(F.arrays_zip("_rows", "_out")).alias("z"))
     names = F.array(*map(F.lit, ring))
     return flat.select(key, *(F.col("z._rows")[c].alias(c) for c in others), F.element_at(names, F.col("z._out.at") + 1).alias("status"), F.col("z._out.taken").alias("taken"))

@@ -1,18 +1,16 @@
 """Blockers, parents and readiness as joins.
 
 Edges are tables; a question about one ticket is the same join with a filter.  Chains of
-parents are followed by doubling: each round a ticket's pointer jumps as far again, so
-a chain of n parents takes log2(n) rounds and no recursion limit applies.
+parents are followed by jumping: each round a ticket's pointer reaches several times as
+far, so a chain of n parents takes a logarithm of n rounds and no recursion limit applies.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.plans.stage import written
+from quillmill.plans.stage import discard, written
 
 
 def edges(tickets: DataFrame) -> DataFrame:
@@ -61,12 +59,19 @@ def ancestors(tickets: DataFrame) -> DataFrame:
     return found
 
 
-def _doubled(walk: DataFrame) -> DataFrame:
-    """walk (id, reason, next) with every pointer moved on to where its target points,
-    unless the target has a reason, which then is the ticket's own."""
+#: How many times as far a pointer reaches after each round: one join less than that a
+#: round, all with the same written table.
+REACH = 4
+
+
+def _moved_on(walk: DataFrame) -> DataFrame:
+    """walk (id, reason, next), a written table, with every pointer moved on REACH - 1 times to
+    where its target points, unless the target has a reason, which then is the ticket's own."""
     ahead = walk.select(F.col("id").alias("next"), F.col("reason").alias("next_reason"), F.col("next").alias("after"))
-    reason = F.coalesce("reason", "next_reason")
-    return walk.join(ahead, "next", "left").select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("after")).alias("next"))
+    moved, reason = walk, F.coalesce("reason", "next_reason")
+    for _ in range(REACH - 1):
+        moved = moved.join(ahead, "next", "left").select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("after")).alias("next"))
+    return moved
 
 
 def blocked_chains(tickets: DataFrame) -> DataFrame:
@@ -79,11 +84,13 @@ def blocked_chains(tickets: DataFrame) -> DataFrame:
     reason = F.coalesce("own", F.when(F.col("parent").isNotNull() & F.col("known").isNull(), F.lit("missing parent")))
     walk = written(nodes.select("id", reason.alias("reason"), F.when(reason.isNull(), F.col("parent")).alias("next")))
     # a chain without a cycle has no more steps than there are tickets, so who still moves then is in one
-    most = math.ceil(math.log2(walk.count() + 1)) + 1
-    doublings = 0
-    while doublings < most and not walk.filter("next is not null").isEmpty():
-        walk = written(_doubled(_doubled(walk)))
-        doublings += 2
+    size = walk.agg(F.count(F.lit(1)).alias("all"), F.count("next").alias("moving")).first()
+    reach, moving = 1, size["moving"]
+    while moving and reach <= size["all"]:
+        before, walk = walk, written(_moved_on(walk))
+        discard(before)
+        reach *= REACH
+        moving = walk.agg(F.count("next")).first()[0]
     return walk.select("id", F.coalesce("reason", F.when(F.col("next").isNotNull(), F.lit("cycle"))).alias("reason")).filter("reason is not null")
 
 
@@ -115,27 +122,77 @@ def start_reason(tickets: DataFrame) -> DataFrame:
     return joined.select("id", reason.alias("reason"))
 
 
-def on_cycle(links: DataFrame) -> DataFrame:
-    """Nodes of links (a, b) that reach themselves.  First nodes without a way in or out
-    are taken off, round by round; of the rest the closure is searched by doubling."""
-    now = written(links.select("a", "b").distinct())
-    size = now.count()
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links (a, b) without nodes that have no way in or no way out, round by round."""
+    now, size = links, links.count()
     while size:
-        trimmed = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        trimmed = written(trimmed.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        left = trimmed.count()
-        now, before, size = trimmed, size, left
+        into, out = now.select(F.col("b").alias("a")).distinct(), now.select(F.col("a").alias("b")).distinct()
+        following = written(now.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b"))
+        left = following.count()
+        discard(now)
+        now, before, size = following, size, left
         if left == before:
             break
-    reach, size = now, size
-    while size:
-        more = reach.unionByName(reach.join(reach.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))).distinct()
-        more = written(more)
-        grown = more.count()
-        if grown == size:
-            break
-        reach, size = more, grown
-    return reach.filter("a = b").select(F.col("a").alias("id")).distinct()
+    return now
+
+
+def _settled(state: DataFrame, step, changed) -> DataFrame:
+    """state after so many steps that none changes it; a few steps are one written table."""
+    value = state.agg(changed).first()[0]
+    while True:
+        before, state = state, written(step(step(state)))
+        discard(before)
+        now = state.agg(changed).first()[0]
+        if now == value:
+            return state
+        value = now
+
+
+def on_cycle(links: DataFrame) -> DataFrame:
+    """Nodes of links (a, b) that reach themselves: the strong components of several nodes.
+
+    Each node takes the greatest node that reaches it as its colour; who reaches the node
+    of its colour inside it is that node's strong component.  What is found is taken off,
+    and the rest is coloured again.  Tables stay as long as the links and nodes are."""
+    distinct = written(links.select("a", "b").distinct())
+    found = written(distinct.filter("a = b").select(F.col("a").alias("id")))
+    now = _trimmed(written(distinct.filter("a <> b")))
+    edges_sum = F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))
+    while not now.isEmpty():
+        nodes = written(now.select(F.col("a").alias("id")).distinct().withColumn("colour", F.col("id")))
+
+        def reached(state: DataFrame, now: DataFrame = now) -> DataFrame:
+            ahead = now.join(state.select(F.col("id").alias("a"), "colour"), "a").groupBy(F.col("b").alias("id")).agg(F.max("colour").alias("ahead"))
+            return state.join(ahead, "id", "left").select("id", F.greatest("colour", "ahead").alias("colour"))
+
+        colours = _settled(nodes, reached, edges_sum)
+        inside = now.join(colours.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colours.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b")
+        inside = written(inside.filter("ca = cb").select("a", "b", F.col("ca").alias("colour")))
+        members = written(colours.filter("id = colour"))
+
+        def back(state: DataFrame, inside: DataFrame = inside) -> DataFrame:
+            return state.unionByName(inside.join(state.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"), "colour")).distinct()
+
+        members = _settled(members, back, edges_sum)
+        several = members.join(members.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "colour", "left_semi").select("id")
+        found = written(found.unionByName(several))
+        gone = members.select("id")
+        rest = now.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
+        now = _trimmed(written(rest.select("a", "b")))
+    return found.distinct()
+
+
+def cycle_path(tickets: DataFrame, start: str, target: str) -> list[str]:
+    """The cycle that a blocker `target` of `start` would close, [] for none: the first path
+    found depth first in the order of the lists.  Only tickets that the target waits for are
+    read, a level of them at a time."""
+    blockers: dict[str, list[str]] = {}
+    level = [target]
+    while level:
+        rows = tickets.filter(F.col("id").isin(level)).select("id", "blocked_by").collect()  # one level of one ticket's blockers
+        blockers |= {x: [] for x in level} | {r["id"]: list(r["blocked_by"] or ()) for r in rows}
+        level = sorted({x for r in rows for x in r["blocked_by"] or ()} - set(blockers))
+    return first_cycle(blockers, start, target)
 
 
 def first_cycle(blockers: dict[str, list[str]], start: str, target: str) -> list[str]:

@@ -20,7 +20,7 @@ _UNRESOLVED = """unresolved AS (
   FROM edges e LEFT JOIN tickets b ON b.id = e.blocker WHERE b.id IS NULL OR b.status <> 'closed')"""
 _CLOSURE = """closure AS (
   SELECT id, parent AS ancestor, 1 AS depth FROM tickets WHERE parent IS NOT NULL
-  UNION ALL SELECT c.id, t.parent, c.depth + 1 FROM closure c JOIN tickets t ON t.id = c.ancestor WHERE t.parent IS NOT NULL AND c.depth < 64)"""
+  UNION ALL SELECT c.id, t.parent, c.depth + 1 FROM closure c JOIN tickets t ON t.id = c.ancestor WHERE t.parent IS NOT NULL)"""
 _READY = f"""WITH RECURSIVE {TICKETS_SQL}, {EDGES_SQL}, {_UNRESOLVED}, {_CLOSURE},
 held AS (SELECT id FROM unresolved UNION SELECT c.id FROM closure c JOIN unresolved u ON u.id = c.ancestor
          UNION SELECT c.id FROM closure c LEFT JOIN tickets t ON t.id = c.ancestor WHERE t.id IS NULL),
@@ -161,7 +161,7 @@ _CYCLE_SQL = f"""{TICKETS_SQL}, {EDGES_SQL},
 links AS (SELECT DISTINCT id AS a, blocker AS b FROM edges UNION SELECT blocker, id FROM edges WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 1)"""
 
 
-@query("cycle_check", f"WITH RECURSIVE {_CYCLE_SQL}, walk AS (SELECT a AS origin, b, 1 AS n FROM links WHERE a IN (SELECT b FROM links) UNION SELECT w.origin, l.b, w.n + 1 FROM walk w JOIN links l ON l.a = w.b WHERE w.n < 20 AND w.b <> w.origin) SELECT DISTINCT origin AS id FROM walk WHERE origin = b")
+@query("cycle_check", f"WITH RECURSIVE {_CYCLE_SQL}, walk AS (SELECT a AS origin, b FROM links WHERE a IN (SELECT b FROM links) UNION SELECT w.origin, l.b FROM walk w JOIN links l ON l.a = w.b) SELECT DISTINCT origin AS id FROM walk WHERE origin = b")
 def cycle_check(spark, d):
     found = graph.edges(tickets(spark, d))
     back = found.filter(F.substring("id", 2, 12).cast("bigint") % 50 == 1).select(F.col("blocker").alias("a"), F.col("id").alias("b"))

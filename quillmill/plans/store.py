@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import contextlib
 import dataclasses
-import fcntl
 import json
 import os
 import posixpath
@@ -19,12 +18,14 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmill.functions import header as H
 from quillmill.functions.scalars import has_prefix
 from quillmill.functions.schema import TYPES, Schema
 from quillmill.operators import changes
+from quillmill.plans.locks import Busy, Lock
 from quillmill.plans.stage import written
 from quillmill.sources import documents, log
 
@@ -74,6 +75,13 @@ class Config:
     options: H.Options = dataclasses.field(default_factory=lambda: H.Options(line_limit=0))
     #: Called with rows put and ids deleted after each change; must be idempotent.
     after_batch: Callable[[DataFrame, DataFrame], None] | None = None
+    #: Called with the rows that a transaction created or updated, and with the ids that it
+    #: or a refresh deleted; a log that is replayed calls them again.
+    after_create: Callable[[DataFrame], None] | None = None
+    after_update: Callable[[DataFrame], None] | None = None
+    after_delete: Callable[[DataFrame], None] | None = None
+    #: Called when the index is made anew, before rows are put in: for related tables.
+    after_schema: Callable[[Schema], None] | None = None
 
 
 def bad_path(path: str) -> str | None:
@@ -146,18 +154,12 @@ class Store:
 
     @contextlib.contextmanager
     def _lock(self, seconds: float = LOCK_SECONDS):
-        """One writer at a time, here and in other processes."""
-        with open(os.path.join(self.folder, "lock"), "w") as f:
-            until = time.monotonic() + seconds
-            while True:
-                try:
-                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                    break
-                except BlockingIOError:
-                    if time.monotonic() > until:
-                        raise StoreError("the store is locked") from None
-                    time.sleep(0.01)
-            yield
+        """One writer at a time, here and in other processes.  Readers pin a snapshot and need no lock."""
+        try:
+            with Lock(os.path.join(self.folder, "lock")).write(seconds):
+                yield
+        except Busy:
+            raise StoreError("the store is locked") from None
 
     # Scans
 
@@ -188,14 +190,23 @@ class Store:
         return documents.scan(self.spark, self.config.base, internal=self.config.internal, content=str(content).lower())
 
     def _rebuild(self) -> int:
+        if self.config.after_schema:
+            self.config.after_schema(self.config.schema)
         rows = self._good(self._rows(self._scan(True)))
         done = self._publish(rows)
         self._hook(rows, rows.select("id").limit(0))
         return done
 
-    def _hook(self, puts: DataFrame, deleted: DataFrame) -> None:
-        if self.config.after_batch:
-            self.config.after_batch(puts, deleted)
+    def _hook(self, puts: DataFrame, deleted: DataFrame, kinds: dict[str, str] | None = None) -> None:
+        """kinds: of a transaction's ids."""
+        c = self.config
+        if c.after_batch:
+            c.after_batch(puts, deleted)
+        for act, kind in ((c.after_create, "create"), (c.after_update, "update")):
+            if act and (ids := [i for i, k in (kinds or {}).items() if k == kind]):
+                act(puts.filter(F.col("id").isin(ids)))
+        if c.after_delete and not deleted.isEmpty():
+            c.after_delete(deleted)
 
     def reindex(self) -> int:
         """Rebuilds the index from all files; returns its rows."""
@@ -232,6 +243,19 @@ class Store:
         found = self.index().filter(has_prefix(F.col("short_id"), prefix) | has_prefix(F.col("id"), prefix))
         return found.orderBy("id").limit(PREFIX_ROWS).select(*PREFIX_COLUMNS)
 
+    def by_path(self, path: str) -> DataFrame:
+        """The row of a file."""
+        return self.index().filter(F.col("path") == path)
+
+    def nth(self, number: int) -> DataFrame:
+        """The row with that number by id, from 0."""
+        top = self.index().orderBy("id").limit(number + 1)
+        return top.withColumn("_n", F.row_number().over(W.orderBy("id"))).filter(F.col("_n") == number + 1).drop("_n")
+
+    def is_stale(self) -> bool:
+        """Whether a file or folder has been added or removed since the index was written."""
+        return documents.newest_folder(self.config.base, self.config.internal) > os.stat(os.path.join(self.folder, "CURRENT")).st_mtime_ns
+
     def exists(self, id: str) -> bool:
         return not self.index().filter(F.col("id") == id).isEmpty()
 
@@ -293,7 +317,7 @@ class Store:
         gone = self.spark.createDataFrame([(op.id,) for op in ops if op.op == "delete"], "id string")
         unique = [list(columns) for columns, single in self.config.schema.indexes if single]
         self._publish(changes.upsert(changes.delete(self.index(), gone, "id"), rows, "id", unique))
-        self._hook(rows, gone)
+        self._hook(rows, gone, {op.id: op.kind for op in ops})
 
 
 class Transaction:

@@ -8,15 +8,18 @@ see.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SUFFIX = ".md"
 #: The folder with the index, which holds no documents.
 INTERNAL = ".index"
+SCHEMA_NAMES = ["path", "mtime_ns", "size_bytes", "content"]
 SCHEMA = "path string, mtime_ns bigint, size_bytes bigint, content string"
 
 
@@ -36,46 +39,82 @@ class _Reader(DataSourceReader):
         self.base = options["path"].removeprefix("file://")
         self.recursive = options.get("recursive", "true").lower() == "true"
         self.internal = options.get("internal", INTERNAL)
-        self.content = options.get("content", "true").lower() == "true"
+        self.content = options.get("content", "true").lower()
         self.chunk = int(options.get("chunk", "256"))
 
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.base):
             return []
-        names = sorted(n for n in os.listdir(self.base) if not is_internal(n, self.internal))
-        files = [n for n in names if n.endswith(SUFFIX) and not os.path.isdir(os.path.join(self.base, n))]
-        folders = [n for n in names if os.path.isdir(os.path.join(self.base, n))] if self.recursive else []
-        if not self.recursive:
-            files = [n for n in files if not n.startswith(".")]
-        return [*(_Part(files[i : i + self.chunk]) for i in range(0, len(files), self.chunk)), *(_Part([n]) for n in folders)]
+        files, parts = [], []
+        for name in sorted(n for n in os.listdir(self.base) if not is_internal(n, self.internal)):
+            full = os.path.join(self.base, name)
+            if not os.path.isdir(full):
+                if name.endswith(SUFFIX) and (self.recursive or not name.startswith(".")):
+                    files.append(name)
+            elif self.recursive:  # a folder is dealt out by what is in it, so a large one is no single task
+                inside = sorted(os.path.join(name, x) for x in os.listdir(full))
+                parts += [_Part(inside[i : i + self.chunk]) for i in range(0, len(inside), self.chunk)]
+        return [*(_Part(files[i : i + self.chunk]) for i in range(0, len(files), self.chunk)), *parts]
 
     def _walk(self, name: str) -> Iterator[str]:
         full = os.path.join(self.base, name)
         if not os.path.isdir(full):
-            yield name
+            if name.endswith(SUFFIX):
+                yield name
             return
         for folder, _, files in os.walk(full):
             for f in files:
                 if f.endswith(SUFFIX):
                     yield os.path.relpath(os.path.join(folder, f), self.base)
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for name in part.names if part else ():  # Spark asks once where there are no parts
             for path in self._walk(name):
                 full = os.path.join(self.base, path)
                 try:
                     stat = os.stat(full)
-                    text = None
-                    if self.content:
-                        with open(full, "rb") as f:
-                            text = f.read().decode("utf-8", "replace")
+                    text = None if self.content == "false" else read_head(full) if self.content == "head" else read_text(full)
                 except FileNotFoundError:
                     continue  # it went while the folder was read
-                yield path, stat.st_mtime_ns, stat.st_size, text
+                rows.append((path, stat.st_mtime_ns, stat.st_size, text))
+                if len(rows) == BATCH:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
+
+
+#: Files of one batch sent to Spark.
+BATCH = 256
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], SCHEMA_NAMES)
+
+
+def read_text(path: str) -> str:
+    with open(path, "rb") as f:
+        return f.read().decode("utf-8", "replace")
+
+
+def read_head(path: str) -> str:
+    """A file up to its first title after the header, or all of it where there is none:
+    what a list needs, however long the text that follows."""
+    out, fences = [], 0
+    with open(path, "rb") as f:
+        for line in f:
+            out.append(line)
+            bare = line.rstrip(b"\r\n")
+            if bare == b"---" and fences < 2:
+                fences += 1
+            elif fences == 2 and bare.startswith(b"# "):
+                break
+    return b"".join(out).decode("utf-8", "replace")
 
 
 class MarkdownSource(DataSource):
-    """format("markdown"): options path, recursive, internal, content, chunk."""
+    """format("markdown"): options path, recursive, internal, content (true, head or false), chunk."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,19 +132,29 @@ def scan(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("markdown").options(path=path, **options).load()
 
 
+def newest_folder(base: str, internal: str = INTERNAL) -> int:
+    """The time, in nanoseconds, at which a folder of the collection last changed."""
+    newest, base = 0, base.removeprefix("file://")
+    for folder, inside, _ in os.walk(base):
+        if folder == base:
+            inside[:] = [x for x in inside if not is_internal(x, internal)]
+        newest = max(newest, os.stat(folder).st_mtime_ns)
+    return newest
+
+
 def contents(listing: DataFrame, base: str) -> DataFrame:
     """listing (path, mtime_ns, size_bytes) with the content of those files, read where
-    the rows are: what a refresh needs of the files that changed."""
+    the rows are: what a refresh needs of the files that changed.  Files that went since
+    are left out, as by a scan."""
     base = base.removeprefix("file://")
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for path in batch.column("path").to_pylist():
-                with open(os.path.join(base, path), "rb") as f:
-                    texts.append(f.read().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "mtime_ns", "size_bytes")), pa.array(texts, pa.string())], ["path", "mtime_ns", "size_bytes", "content"])
+            rows = []
+            for path, time, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with contextlib.suppress(FileNotFoundError):
+                    rows.append((path, time, size, read_text(os.path.join(base, path))))
+            if rows:
+                yield _batch(rows)
 
     return listing.select("path", "mtime_ns", "size_bytes").mapInArrow(run, SCHEMA)
