@@ -346,6 +346,19 @@ def with_document(df: DataFrame, header: str, body: str, out: str) -> DataFrame:
     return df.select(*keep).mapInArrow(run, f"{schema}, `{out}` string")
 
 
+def with_text(df: DataFrame, header: str, out: str, **how) -> DataFrame:
+    """Adds `out`, the header as text; how: fences, order and first, as `serialize` takes them."""
+    keep = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if h is None else serialize(h, **how) for h in batch.column(header).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep).mapInArrow(run, f"{schema}, `{out}` string")
+
+
 # Typed access: null where the key is missing or has another kind.
 
 

@@ -94,6 +94,19 @@ def fnv1a31(text: str) -> int:
     return h & 0x7FFFFFFF
 
 
+def _bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text as an array of numbers."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    places = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
+    return F.when(F.length(digits) > 0, F.transform(places, lambda p: F.conv(F.substr(digits, p, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def fnv1a31_of(text: Column) -> Column:
+    """`fnv1a31` of a column."""
+    step = lambda h, b: (h.bitwiseXOR(b) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(_bytes(text), F.lit(0x811C9DC5).cast("bigint"), step).bitwiseAND(F.lit(0x7FFFFFFF))
+
+
 def _castagnoli() -> list[int]:
     table = []
     for n in range(256):
@@ -114,5 +127,17 @@ def crc32c(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
+def crc32c_of(text: Column) -> Column:
+    """`crc32c` of a column's UTF-8 bytes."""
+    table = F.array(*(F.lit(x).cast("bigint") for x in _CRC_TABLE))
+    step = lambda c, b: F.element_at(table, (c.bitwiseXOR(b).bitwiseAND(F.lit(255)) + 1).cast("int")).bitwiseXOR(F.shiftright(c, 8))
+    return F.aggregate(_bytes(text), F.lit(0xFFFFFFFF).cast("bigint"), step).bitwiseXOR(F.lit(0xFFFFFFFF).cast("bigint"))
+
+
+def instant(text: Column) -> Column:
+    """The moment that a full time with an offset names, null for anything else."""
+    return F.when(is_rfc3339(text), F.try_to_timestamp(text))
+
+
 def now_utc() -> str:
     return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")

@@ -258,3 +258,29 @@ def json_object(fields: tuple[str, ...] = ("id", "title", "status", "type", "pri
     """One ticket as JSON: parent and closed are left out when empty, blocked_by never is."""
     shown = [F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f) if f == "blocked_by" else F.when(F.col(f).cast("string") != "", F.col(f)).alias(f) for f in fields]
     return F.to_json(F.struct(*shown))
+
+
+#: Fields that a list shows alone.
+SHOWN = ("id", "priority", "status", "type", "title", "parent", "created")
+
+
+def shown_field(name: str) -> Column:
+    """One field as text, empty where it is missing."""
+    if name not in SHOWN:
+        raise ValueError(f"unknown field {name!r}")
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def field_json(name: str) -> Column:
+    """One field as JSON: priority stays a number, the others are text."""
+    if name == "priority":
+        return F.col(name).cast("string")
+    plain = F.to_json(F.struct(shown_field(name).alias("x")))
+    return F.substring(plain, 6, 1 << 30).substr(F.lit(1), F.length(plain) - 6)
+
+
+def json_array(page: DataFrame, order: list, fields: tuple[str, ...] = ("id", "title", "status", "type", "priority", "created", "closed", "parent", "blocked_by")) -> DataFrame:
+    """The tickets of a page as one JSON array in order: one row, whatever the page holds."""
+    rows = page.select(F.struct(*order).alias("_order"), json_object(fields).alias("_json"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_json"))), lambda x: x["_json"])
+    return rows.agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("json"))

@@ -7,6 +7,9 @@ far, so a chain of n parents takes a logarithm of n rounds and no recursion limi
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,17 +151,73 @@ def _settled(state: DataFrame, step, changed) -> DataFrame:
         value = now
 
 
+#: Links that one task searches for cycles at once; more are coloured first, until no more are left.
+LOCAL_LINKS = 1_000_000
+
+
+def strong_components(links: Iterable[tuple]) -> Iterator[list]:
+    """The strong components of several nodes, by one walk depth first without recursion."""
+    ahead: dict = {}
+    for a, b in links:
+        ahead.setdefault(a, []).append(b)
+    order: dict = {}
+    low: dict = {}
+    open_: dict = {}  # nodes of components that are not finished, in the order they were met
+    for root in ahead:
+        if root in order:
+            continue
+        work = [(root, iter(ahead[root]))]
+        order[root] = low[root] = len(order)
+        open_[root] = None
+        while work:
+            node, rest = work[-1]
+            for x in rest:
+                if x not in order:
+                    order[x] = low[x] = len(order)
+                    open_[x] = None
+                    work.append((x, iter(ahead.get(x, ()))))
+                    break
+                if x in open_:
+                    low[node] = min(low[node], order[x])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(open_.popitem()[0])
+                    if len(own) > 1:
+                        yield own
+
+
+def _on_cycle_here(links: DataFrame) -> DataFrame:
+    """`on_cycle` of links that one task can hold."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (p for batch in batches for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        found = [x for own in strong_components(pairs) for x in own]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["id"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"id {kind}")
+
+
 def on_cycle(links: DataFrame) -> DataFrame:
     """Nodes of links (a, b) that reach themselves: the strong components of several nodes.
 
-    Each node takes the greatest node that reaches it as its colour; who reaches the node
-    of its colour inside it is that node's strong component.  What is found is taken off,
-    and the rest is coloured again.  Tables stay as long as the links and nodes are."""
+    Up to LOCAL_LINKS links are searched by one task.  Of more, each node takes the greatest
+    node that reaches it as its colour; who reaches the node of its colour inside it is that
+    node's strong component.  What is found is taken off, and the rest is searched again.
+    Tables stay as long as the links and nodes are."""
     distinct = written(links.select("a", "b").distinct())
-    found = written(distinct.filter("a = b").select(F.col("a").alias("id")))
-    now = _trimmed(written(distinct.filter("a <> b")))
+    found = distinct.filter("a = b").select(F.col("a").alias("id"))
+    now = distinct.filter("a <> b")
     edges_sum = F.sum(F.xxhash64("id", "colour").cast("decimal(38,0)"))
-    while not now.isEmpty():
+    if now.count() > LOCAL_LINKS:
+        now = _trimmed(written(now))
+    while now.count() > LOCAL_LINKS:
         nodes = written(now.select(F.col("a").alias("id")).distinct().withColumn("colour", F.col("id")))
 
         def reached(state: DataFrame, now: DataFrame = now) -> DataFrame:
@@ -179,7 +238,7 @@ def on_cycle(links: DataFrame) -> DataFrame:
         gone = members.select("id")
         rest = now.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
         now = _trimmed(written(rest.select("a", "b")))
-    return found.distinct()
+    return found.unionByName(_on_cycle_here(now)).distinct()
 
 
 def cycle_path(tickets: DataFrame, start: str, target: str) -> list[str]:

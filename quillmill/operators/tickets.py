@@ -69,3 +69,28 @@ def children(df: DataFrame, parent: str, open_only: bool = False) -> DataFrame:
 def with_blocker(df: DataFrame, blocker: str) -> DataFrame:
     """Tickets that wait for a given one."""
     return df.filter(F.array_contains("blocked_by", blocker))
+
+
+def page_with_blockers(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of tickets, numbered, with a row for each of a ticket's blockers and the
+    blocker's status; null where it has none or the blocker is missing.  The page is taken
+    first, so no more is joined than it shows."""
+    states = df.select(F.col("id").alias("blocker"), F.col("status").alias("blocker_status"))
+    shown = numbered_page(df, order, offset, limit).select("rn", "id", "status", F.posexplode_outer("blocked_by").alias("pos", "blocker"))
+    return shown.join(states, "blocker", "left").select("rn", "id", "status", "pos", "blocker", "blocker_status")
+
+
+def match_count(df: DataFrame, **conditions) -> int:
+    """How many tickets `matching` finds."""
+    return matching(df, **conditions).count()
+
+
+def by_creation(df: DataFrame) -> DataFrame:
+    """Oldest first, equal times by id."""
+    return df.orderBy("created", "id")
+
+
+def ready_page(df: DataFrame, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Tickets by priority, then oldest first; limit 0 is none."""
+    ordered = df.orderBy("priority", "created", "id")
+    return checked_page(ordered, offset, limit)

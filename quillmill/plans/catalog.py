@@ -364,10 +364,6 @@ def scalar_ints(spark, d):
     return table(spark, d, "orders").withColumn("text", text).select("o_orderkey", scalars.whole_int(F.col("text")).alias("whole"), scalars.leading_int(F.col("text")).alias("leading"))
 
 
-@query("time_ids")
-def time_ids(spark, d):
-    stamped = table(spark, d, "orders").select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
-    return stamped.select("o_orderkey", scalars.time_id(F.col("at")).alias("id"))
 
 
 # Related tables kept by hooks

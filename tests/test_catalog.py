@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quillmill.plans import catalog
+from quillmill.plans import catalog, catalog_more, catalog_store  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,6 +1,6 @@
 import random
 
-from quillmill.operators import graph
+from quillmill.operators import changes, graph
 from quillmill.plans import board
 
 SCHEMA = "id string, status string, type string, priority int, parent string, blocked_by array<string>, title string"
@@ -107,3 +107,39 @@ def test_board(spark):
     new = spark.createDataFrame([("a", "x", "bug", 1, None, []), ("e", "x", "bug", 9, None, []), ("f", "x", "bug", 1, "a", []), ("g", "x", "bug", 1, "b", ["c"]), ("h", "x", "bug", 1, None, ["q"])], "id string, title string, type string, priority int, parent string, blocked_by array<string>")
     assert {r["id"]: r["reason"] for r in board.create_reason(df, new).collect()} == {"a": "id is taken", "e": "invalid priority", "f": "parent is closed", "g": None, "h": "blocker not found"}
     assert status(board.created(df, new))["g"] == "open"
+
+
+def test_cycles_are_found_alike_by_one_task_and_by_colours(spark, monkeypatch):
+    r = random.Random(12)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(75)] + [(100 + k, 101 + k) for k in range(12)] + [(200, 200)]
+    ahead = {}
+    for a, b in links:
+        ahead.setdefault(a, set()).add(b)
+
+    def reaches(start):
+        seen, left = set(), [start]
+        while left:
+            new = ahead.get(left.pop(), set()) - seen
+            seen |= new
+            left += new
+        return start in seen
+
+    wanted = {a for a in ahead if reaches(a)}
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert {x["id"] for x in graph.on_cycle(df).collect()} == wanted
+    monkeypatch.setattr(graph, "LOCAL_LINKS", 0)
+    assert {x["id"] for x in graph.on_cycle(df).collect()} == wanted
+
+
+def test_long_logs_are_folded_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(changes, "CHUNK", 7)
+    r = random.Random(2)
+    ops = [(k % 3, n, r.choice(["start", "close", "reopen"])) for n, k in enumerate(r.choices(range(3), k=200))]
+    wanted, at = [], {}
+    for key, n, op in ops:
+        before, after = changes.MACHINE[op]
+        taken = at.get(key, "open") == before
+        at[key] = after if taken else at.get(key, "open")
+        wanted.append((key, n, op, at[key], taken))
+    found = changes.transitions(spark.createDataFrame(ops, "k bigint, n bigint, op string"), "k", ["n"], "op").select("k", "n", "op", "status", "taken")
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
