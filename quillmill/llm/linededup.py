@@ -10,10 +10,10 @@ doc_id that holds them, so that no text vanishes from the corpus, not even one t
 was copied to many sites as a whole.
 
 Lines are told apart by their 64-bit hash.  Null texts stay null.  Null sites count for
-nothing.  Documents whose lines all go
-keep an empty text.  Rows with equal ids are treated alike.  Lines of fewer than
-`chars` characters are left alone.  Extra columns pass through; an empty table gives
-an empty result.
+nothing.  Documents whose lines all go keep an empty text.  Rows with equal ids count as
+one document; those without an id count for a line's sites and keep their own lines.
+Lines of fewer than `chars` characters are left alone.  Extra columns pass through; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import maybe_broadcast, table, written
+from quillmill.llm.common import discard, maybe_broadcast, table, written
 
 SITES = 5
 CHARS = 20
@@ -47,18 +47,23 @@ def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
 
 def dedup_lines(df: DataFrame, site: str = "source", sites: int = SITES, chars: int = CHARS) -> DataFrame:
     """df without boilerplate lines in its column text, and n_removed, how many went."""
-    line = F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.char_length(x) >= chars))
-    lines = written(df.select("doc_id", F.col(site).alias("site"), line.alias("line")).select("doc_id", "site", F.xxhash64("line").alias("hash")))
-    common = written(boilerplate(lines, sites))
+    # everything of df stays inside one column, so that no name of its own can clash
+    rows = df.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col(site).cast("string").alias("site"))
+    placed = rows.select("doc_id", "copy", "site", F.posexplode(F.split("row.text", "\n", -1)).alias("pos", "line")).filter(F.char_length("line") >= chars)
+    lines = written(placed.select("doc_id", "copy", "site", "pos", F.xxhash64("line").alias("hash")))
+    common = written(boilerplate(lines.select("hash", "site", "doc_id"), sites))
     hits = lines.join(maybe_broadcast(common, LINE_BYTES * common.count()), "hash").filter("doc_id <> first_doc")
-    bad = written(hits.groupBy("doc_id", "hash").agg(F.count(F.lit(1))).groupBy("doc_id").agg(F.collect_list("hash").alias("_bad")))
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x: ~((F.char_length(x) >= chars) & F.array_contains(F.col("_bad"), F.xxhash64(x))))
+    bad = written(hits.select("doc_id", "copy", "pos").groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.col("pos") + 1)).alias("bad")))
+    discard(lines, common)
     # a shuffle at every size: documents with boilerplate grow with the corpus
-    found = df.join(bad.hint("merge"), "doc_id", "left")
-    kept_text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_bad").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(kept)).cast("long")
-    return found.select(*(kept_text.alias(c) if c == "text" else F.col(c) for c in df.columns if c != "n_removed"), removed.alias("n_removed"))
+    found = rows.select("row", "doc_id", "copy").join(bad.hint("merge"), ["doc_id", "copy"], "left")
+    # what stands between two removed lines stays: time follows the lines, however many go
+    found = found.withColumn("parts", F.when(F.col("bad").isNotNull(), F.split("row.text", "\n", -1)))
+    found = found.withColumn("edges", F.concat(F.array(F.lit(0)), "bad", F.array(F.size("parts") + 1)))
+    between = F.transform(F.sequence(F.lit(2), F.size("edges")), lambda k: F.slice("parts", F.element_at("edges", k - 1) + 1, F.element_at("edges", k) - F.element_at("edges", k - 1) - 1))
+    kept = F.when(F.col("bad").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(between), "\n"))
+    removed = F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.size("bad")).cast("long")
+    return found.select(*(kept.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in df.columns if c != "n_removed"), removed.alias("n_removed"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,12 +50,10 @@ def topology(shards: int, base: int = SHARDS, racks: int = 2, region_shards: int
 
 def _draw(key: Column, name: Column, weight: Column) -> Column:
     """An exponential draw from 52 bits of a hash, never 0 or 1."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", key, name).cast("binary")), 1, 13), 16, 10).cast("double")
+    bits = F.shiftrightunsigned(F.xxhash64(key, name), 12).cast("double")
     return -F.ln((bits + 0.5) / float(1 << 52)) / weight
 
 
-
-
 def assign(df: DataFrame, key: Column, shards: list[Shard], name: str) -> DataFrame:
     """Adds `name`, the shard of each row's key.  The tree is a literal, so its size is
     that of the cluster and not of the data."""

@@ -1,7 +1,9 @@
 import collections
+import math
 import zlib
 
 import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from quillmill.llm import linededup, sharding
@@ -40,6 +42,33 @@ def test_weights_and_confined_moves(spark):
         assert {more[k] for k in less if more[k] != less[k]} == {n}
 
 
+def brute_shard(key, shards):
+    """Region, rack and shard by the least draw, one after the other."""
+
+    def draw(name, weight):
+        h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+        return -math.log(((h >> 12) + 0.5) / 2**52) / weight
+
+    own = shards
+    for of in (lambda s: s.region, lambda s: s.rack, lambda s: f"s{s.number}"):
+        names = list(dict.fromkeys(map(of, own)))
+        best = min(names, key=lambda n: (draw(n, sum(s.weight for s in own if of(s) == n)), names.index(n)))
+        own = [s for s in own if of(s) == best]
+    return own[0].number
+
+
+def test_op3_is_a_walk_down_the_tree(spark, tables, odd_documents):
+    df = odd_documents.unionByName(spark.createDataFrame([(None, "no id"), (None, None), (-7, "x")], "doc_id bigint, text string"), allowMissingColumns=True).withColumn("shard", F.lit("clash")).withColumn("slot", F.lit(1.5))
+    found = sharding.op3_sharding(spark, tables(documents=df)).collect()
+    assert len(found) == df.count()
+    for x in found:
+        key = "" if x["doc_id"] is None else str(x["doc_id"])
+        assert (x["shard"], x["grown_shard"]) == (brute_shard(key, sharding.topology(40)), brute_shard(key, sharding.topology(41)))
+    uneven = [sharding.Shard("r0", "r0/a", 0, 1.0), sharding.Shard("r0", "r0/b", 1, 2.5), sharding.Shard("r1", "r1/a", 2, 0.5), sharding.Shard("r1", "r1/a", 3, 4.0)]
+    rows = sharding.assign(spark.range(500), F.col("id"), uneven, "at").collect()
+    assert all(r["at"] == brute_shard(str(r["id"]), uneven) for r in rows)
+
+
 def test_op8_is_its_sql(spark, tables, odd_documents):
     common = "This line is shown on a great many sites."
     rows = [(500 + k, f"{common}\nown text of document {k} {'x' * k}\n{common}\n", None, f"site{k % 7}", 1) for k in range(20)]
