@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import discard, written
 
 #: Rounds after which something is wrong: the number needed grows with the logarithm
-#: squared of the largest component.
+#: squared of the largest component at most, and with its logarithm in practice, so 60 are
+#: enough for any table.  Nothing is lost beyond them: it is an error.
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """One step.  edges: (a, b) with a > b, distinct.  Every node links its larger
-    (large star) or its smaller neighbours (small star) to the least of them."""
+    (large star) or its smaller neighbours (small star) to the least of them.  Returns
+    the new edges, and a written table that they are read from."""
     if small:
         near = edges
     else:
@@ -26,7 +28,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = seen.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         out = seen.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.filter("a > b").distinct()
+    return out.filter("a > b").distinct(), least
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,9 +42,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not before["n"]:
             break
-        following = written(_star(_star(now, small=False), small=True))
+        larger, first = _star(now, small=False)
+        smaller, second = _star(larger, small=True)
+        following = written(smaller)
         after = following.agg(print_of.alias("p")).first()["p"]
-        discard(now)
+        discard(now, first, second)
         now = following
         if after == before:
             break

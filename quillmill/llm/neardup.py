@@ -44,7 +44,7 @@ PROBES = 4
 SCALE = 0.22
 SEED = 7
 #: Members of one block of a crowded cell, and rows compared at once.
-BLOCK = 1024
+BLOCK = 512
 ROWS = 4096
 SMALL = 32
 

@@ -16,8 +16,10 @@ tokens with a positive score are visited one by one.  The model learns from a bo
 sample of labelled rows, about `SAMPLE` of either class; every whole text is scored.
 
 Null and empty texts have no segment and get the lowest score.  Without labelled rows
-of both classes every score is 0.  Repeated rows are scored alike.  Extra columns
-pass through `score` untouched.
+of both classes every score is 0.  Labels without an id, and rows without one, are not
+learned from; of rows that share an id each is.  Repeated rows are scored alike, and the
+model is the same however the rows are dealt out.  Very long texts are scored in parts and
+searched as a whole.  Extra columns pass through `score` untouched.
 """
 
 from __future__ import annotations
@@ -219,6 +221,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     pairs = np.array([evidence(r["n"], [(0, 0, s) for s in r["found"]], model) for r in seen]).reshape(-1, 2)
     weight = np.where(toxic == 1, sizes[1] / max(1, (toxic == 1).sum()), sizes[0] / max(1, (toxic == 0).sum()))
     model.weights = _logistic(_features(pairs[:, 0], pairs[:, 1]), toxic.astype(float), weight / weight.mean())
+    discard(rows, single, all_counts)
     return model
 
 
