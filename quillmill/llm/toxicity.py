@@ -77,21 +77,23 @@ class Model:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in linear time: candidates are
-    kept with the sums left and right of them, and joined while a later one rises above."""
+    kept with the sums left and right of them, and joined while a later one rises above.
+    Each knows the last one before it whose left sum is lower, so no candidate is passed
+    over twice in a walk that falls."""
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, low, high = i, i + 1, float(total[i]), float(total[i + 1])
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= high:
-                found.append((start, end, low, high))
+                found.append((start, end, low, high, j))
                 break
             start, low = found[j][0], found[j][2]
             del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def scan(texts: list[str], model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import time
 import unicodedata
 import zlib
 
@@ -76,6 +77,14 @@ def test_segments_are_all_maximal_ones(scores):
     assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in best_segments(scores)]
 
 
+def test_segments_take_linear_time():
+    falling = np.tile([0.5, -1.0], 400_000)
+    began = time.perf_counter()
+    assert len(toxicity.segments(falling)) == 400_000
+    assert len(toxicity.segments(-falling[::-1])) == 1
+    assert time.perf_counter() - began < 20  # quadratic time would be hours
+
+
 def test_toxicity(spark, tables):
     r = random.Random(4)
     rows, labels = [], []
