@@ -40,8 +40,9 @@ SAMPLE = 4000
 #: A document of these counts at least, or its words' stems speak for it.
 LEAST_COUNT = 5
 STEMS = (5, 4)
-#: Standard errors that a score is moved towards zero.
-MARGIN = 2.5
+#: Standard errors that a score is moved towards zero: on the training rows of 0.1 GB, 2.5 gave
+#: 31 false alarms in 13,880 and 3.5 gave 10, with all 1,619 toxic texts found by either.
+MARGIN = 3.5
 DRIFT = 0.05
 #: Segments expected more often than this by chance are left out.
 CHANCE = 0.05
