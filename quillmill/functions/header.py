@@ -32,6 +32,8 @@ _ESCAPE = re.compile(r"\\(?:([abfnrtv\\\"])|x([0-9A-Fa-f]{2})|([0-7]{3})|u([0-9A
 _LETTER_ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
 #: Characters that may not start an unquoted value.
 _INDICATORS = "[{}]|>&*!%@`"
+#: Fixed value: the one error text that users of such headers match on.
+NO_COMMENTS = "comments are not supported; quote '#' if literal"
 
 
 _CLOSING = re.compile(rf"\n{FENCE}\r?(?=\n|\Z)")
@@ -58,13 +60,13 @@ def _unquote(text: str) -> str:
     """A quoted string's value; ValueError if it isn't well formed."""
     quote = text[0]
     if len(text) < 2 or text[-1] != quote:
-        raise ValueError("unterminated quoted string")
+        raise ValueError("a quoted text needs its second quote")
     inner = text[1:-1]
     if quote == "'":
         return inner
     rest = _ESCAPE.sub("", inner)
     if "\\" in rest or '"' in rest or "\n" in rest:
-        raise ValueError("invalid quoted string")
+        raise ValueError("a quoted text holds an unknown escape, a bare quote or a line end")
     raw = bytearray()
     at = 0
     for m in _ESCAPE.finditer(inner):
@@ -76,12 +78,12 @@ def _unquote(text: str) -> str:
         elif two or octal:
             value = int(two, 16) if two else int(octal, 8)
             if value > 255:
-                raise ValueError("invalid quoted string")
+                raise ValueError("a quoted text holds an unknown escape, a bare quote or a line end")
             raw.append(value)
         else:
             point = int(four or eight, 16)
             if point > 0x10FFFF or 0xD800 <= point < 0xE000:
-                raise ValueError("invalid quoted string")
+                raise ValueError("a quoted text holds an unknown escape, a bare quote or a line end")
             raw += chr(point).encode()
     raw += inner[at:].encode()
     return raw.decode("utf-8", "replace")
@@ -92,18 +94,18 @@ def _plain(text: str) -> str:
     if text[:1] in ("'", '"'):
         return _unquote(text)
     if "#" in text:
-        raise ValueError("comments are not supported; quote '#' if literal")
+        raise ValueError(NO_COMMENTS)
     return text
 
 
 def scalar(text: str) -> dict:
     """The typed value of a scalar as written."""
     if not text:
-        raise ValueError("empty scalar")
+        raise ValueError("a value is empty")
     value = _plain(text)
     if text[0] not in "'\"":
         if text[0] in _INDICATORS or text.startswith("- "):
-            raise ValueError("unsupported value")
+            raise ValueError("a value starts with a character kept for other forms")
         if text in ("true", "false"):
             return {"kind": "bool", "s": None, "i": None, "b": text == "true"}
         if _INTEGER.fullmatch(text) and abs(int(text)) <= INT_MAX:
@@ -113,44 +115,44 @@ def scalar(text: str) -> dict:
 
 def _inline_list(text: str) -> list[str]:
     if not text.endswith("]"):
-        raise ValueError("unterminated list")
+        raise ValueError("a list needs its closing bracket")
     inner = text[1:-1]
     if not inner:
         return []
     first, *others = inner.split(",")
     if any(not x.startswith(" ") for x in others):
-        raise ValueError("expected one space after ',' and no empty list item")
+        raise ValueError("list items are parted by a comma and one space")
     return [_item(x) for x in (first, *(x[1:] for x in others))]
 
 
 def _item(text: str) -> str:
     if not text:
-        raise ValueError("empty list item")
+        raise ValueError("a list has an empty item")
     if text != text.strip(" \t"):
-        raise ValueError("unexpected whitespace in list item")
+        raise ValueError("a list item has blanks around it")
     if not (value := _plain(text)):
-        raise ValueError("empty list item")
+        raise ValueError("a list has an empty item")
     return value
 
 
 def _split_entry(text: str) -> tuple[str, str | None]:
     """Key and value as written; None where nothing follows the colon."""
     if not (m := _ENTRY.fullmatch(text)):
-        raise ValueError("missing ':'")
+        raise ValueError("an entry has no colon")
     key, rest = m.groups()
     if not key:
-        raise ValueError("empty key")
+        raise ValueError("an entry has no key")
     if " " in key or "\t" in key:
-        raise ValueError("whitespace in key")
+        raise ValueError("a key holds blanks")
     if not rest:
         return key, None
     if not rest.startswith(" "):
-        raise ValueError("expected single space after ':'")
+        raise ValueError("a value starts one space after the colon")
     value = rest[1:]
     if not value:
-        raise ValueError("empty scalar")
+        raise ValueError("a value is empty")
     if value != value.strip(" \t"):
-        raise ValueError("unexpected whitespace around value")
+        raise ValueError("a value has blanks around it")
     return key, value
 
 
@@ -164,7 +166,7 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
     at = 0
     if options.require_fence:
         if not count or lines[0].removesuffix("\r") != FENCE:
-            raise HeaderError(0, "missing opening delimiter")
+            raise HeaderError(0, "the text does not start with a header")
         at = 1
     entries: list[dict] = []
     keys: set[str] = set()
@@ -181,48 +183,48 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
             break
         used += 1
         if options.line_limit and used > options.line_limit:
-            raise HeaderError(used, f"exceeds line limit {options.line_limit}")
+            raise HeaderError(used, f"a header has {options.line_limit} lines at most")
         bare = line.lstrip(" \t")
         try:
             if bare.startswith("#"):
-                raise ValueError("comments are not supported; quote '#' if literal")
+                raise ValueError(NO_COMMENTS)
             if not bare:
                 if block is not None and not opened and entries[-1]["kind"] == "object" and options.strict_objects:
-                    raise ValueError("duplicate object key")
+                    raise ValueError("a blank line stands in an object")
                 continue
             lead = line[: len(line) - len(bare)]
             if opened:
                 if not lead or "\t" in lead:
-                    raise ValueError("expected indented block")
+                    raise ValueError("a key without a value needs indented lines below it")
                 kind = "list" if bare.startswith("- ") else "object"
                 block, indent, inner, opened = [], len(lead), set(), 0
                 entries[-1] |= {"kind": kind, "list" if kind == "list" else "obj": block}
             if block is not None and lead:
                 if "\t" in lead:
-                    raise ValueError("tabs are not allowed")
+                    raise ValueError("lines are indented by spaces and not by tabs")
                 if len(lead) == indent:
                     if entries[-1]["kind"] == "list":
                         if not bare.startswith("- "):
-                            raise ValueError("expected list item")
+                            raise ValueError("a list goes on with something that is no item")
                         block.append(_item(bare[2:]))
                         continue
                     key, value = _split_entry(bare)
                     if value is None:
-                        raise ValueError("empty object value")
+                        raise ValueError("an entry of an object has no value")
                     found = {"key": key, **scalar(value)}
                     if key in inner:
-                        raise ValueError("duplicate object key")
+                        raise ValueError("an object has a key twice")
                     inner.add(key)
                     block.append(found)
                     continue
                 if len(lead) > indent:
-                    raise ValueError("inconsistent indentation")
+                    raise ValueError("lines of one block are indented alike")
             block = None
             if lead:
-                raise ValueError("unexpected indentation")
+                raise ValueError("an indented line belongs to no key")
             key, value = _split_entry(line)
             if key in keys:
-                raise ValueError("duplicate key")
+                raise ValueError("the header has a key twice")
             keys.add(key)
             entry = {"key": key, "kind": None, "s": None, "i": None, "b": None, "list": None, "obj": None}
             if value is None:
@@ -235,9 +237,9 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
         except ValueError as wrong:
             raise wrong if isinstance(wrong, HeaderError) else HeaderError(number, str(wrong)) from None
     if opened:
-        raise HeaderError(opened, "missing block value")
+        raise HeaderError(opened, "a key at the end has no value")
     if options.require_fence and not closed:
-        raise HeaderError(0, "missing closing delimiter")
+        raise HeaderError(0, "the header is not closed")
     body = text[end.end() + 1 :] if end else "\n".join(lines[at:]) if at < len(lines) else ""
     if options.require_fence and options.trim_body:
         body = re.sub(r"\A(?:\r?\n)+", "", body)

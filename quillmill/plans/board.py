@@ -12,6 +12,17 @@ from quillmill.functions.tickets import PRIORITIES, TYPES
 from quillmill.operators import graph
 from quillmill.operators.changes import upsert
 
+#: Reasons that users of such boards match on.
+TITLE_REQUIRED = "title is required"
+PARENT_NOT_FOUND = "parent not found"
+PARENT_CLOSED = "parent is closed"
+BLOCKER_NOT_FOUND = "blocker not found"
+TICKET_NOT_FOUND = "ticket not found"
+OPEN_CHILDREN = "has open children"
+BLOCKS_ITSELF = "cannot block itself"
+ALREADY_BLOCKED = "already blocked"
+ALREADY_CLOSED = "already closed"
+
 
 def create_reason(tickets: DataFrame, new: DataFrame) -> DataFrame:
     """new (id, title, type, priority, parent, blocked_by): (id, reason) of each, null if it may be created."""
@@ -22,13 +33,13 @@ def create_reason(tickets: DataFrame, new: DataFrame) -> DataFrame:
     taken = there.select("id", F.lit(True).alias("taken"))
     joined = new.join(taken, "id", "left").join(missing, "id", "left").join(parents, "parent", "left")
     reason = (
-        F.when(F.coalesce(F.trim("title"), F.lit("")) == "", "title is required")
+        F.when(F.coalesce(F.trim("title"), F.lit("")) == "", TITLE_REQUIRED)
         .when(~F.coalesce("type", F.lit("")).isin(*TYPES), "invalid type")
         .when(~F.coalesce("priority", F.lit(0)).between(*PRIORITIES), "invalid priority")
         .when(F.col("taken"), "id is taken")
-        .when((F.coalesce("parent", F.lit("")) != "") & F.col("parent_status").isNull(), "parent not found")
-        .when(F.col("parent_status") == "closed", "parent is closed")
-        .when(F.col("missing_blocker"), "blocker not found")
+        .when((F.coalesce("parent", F.lit("")) != "") & F.col("parent_status").isNull(), PARENT_NOT_FOUND)
+        .when(F.col("parent_status") == "closed", PARENT_CLOSED)
+        .when(F.col("missing_blocker"), BLOCKER_NOT_FOUND)
     )
     return joined.select("id", reason.alias("reason"))
 
@@ -51,7 +62,7 @@ def started(tickets: DataFrame, ids: DataFrame) -> DataFrame:
 def close_reason(tickets: DataFrame) -> DataFrame:
     """Status first, then open children."""
     busy = tickets.filter("status <> 'closed' and coalesce(parent, '') <> ''").groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("busy"))
-    reason = F.when(F.col("status") == "open", "not started").when(F.col("status") == "closed", "already closed").when(F.col("busy"), "has open children")
+    reason = F.when(F.col("status") == "open", "not started").when(F.col("status") == "closed", ALREADY_CLOSED).when(F.col("busy"), OPEN_CHILDREN)
     return tickets.join(busy, "id", "left").select("id", reason.alias("reason"))
 
 
@@ -61,7 +72,7 @@ def closed(tickets: DataFrame, ids: DataFrame) -> DataFrame:
 
 def reopen_reason(tickets: DataFrame) -> DataFrame:
     parents = tickets.select(F.col("id").alias("parent"), F.col("status").alias("parent_status"))
-    reason = F.when(F.col("status") != "closed", "not closed").when(F.col("parent_status") == "closed", "parent is closed")
+    reason = F.when(F.col("status") != "closed", "not closed").when(F.col("parent_status") == "closed", PARENT_CLOSED)
     return tickets.join(parents, "parent", "left").select("id", reason.alias("reason"))
 
 
@@ -80,10 +91,10 @@ def block_reason(tickets: DataFrame, links: DataFrame) -> DataFrame:
     joined = links.join(there, "id", "left").join(blockers, "blocker", "left").join(ends, "id", "left")
     joined = joined.join(cyclic.select(F.col("id").alias("blocker"), F.lit(True).alias("to_cycle")), "blocker", "left")
     reason = (
-        F.when(F.col("blocked_by").isNull(), "ticket not found")
-        .when(F.col("known").isNull(), "blocker not found")
-        .when(F.col("id") == F.col("blocker"), "cannot block itself")
-        .when(F.array_contains("blocked_by", F.col("blocker")), "already blocked")
+        F.when(F.col("blocked_by").isNull(), TICKET_NOT_FOUND)
+        .when(F.col("known").isNull(), BLOCKER_NOT_FOUND)
+        .when(F.col("id") == F.col("blocker"), BLOCKS_ITSELF)
+        .when(F.array_contains("blocked_by", F.col("blocker")), ALREADY_BLOCKED)
         .when(F.col("from_cycle") & F.col("to_cycle"), "closes a cycle")
     )
     return joined.select("id", "blocker", reason.alias("reason"))
