@@ -166,7 +166,7 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
     at = 0
     if options.require_fence:
         if not count or lines[0].removesuffix("\r") != FENCE:
-            raise HeaderError(0, "the text does not start with a header")
+            raise HeaderError(0, "the opening fence of the header is not there")
         at = 1
     entries: list[dict] = []
     keys: set[str] = set()
@@ -183,7 +183,7 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
             break
         used += 1
         if options.line_limit and used > options.line_limit:
-            raise HeaderError(used, f"a header has {options.line_limit} lines at most")
+            raise HeaderError(used, f"the header has more lines than its limit {options.line_limit}")
         bare = line.lstrip(" \t")
         try:
             if bare.startswith("#"):
@@ -239,7 +239,7 @@ def parse(text: str, options: Options = Options()) -> tuple[list[dict], str]:
     if opened:
         raise HeaderError(opened, "a key at the end has no value")
     if options.require_fence and not closed:
-        raise HeaderError(0, "the header is not closed")
+        raise HeaderError(0, "the closing fence of the header is not there")
     body = text[end.end() + 1 :] if end else "\n".join(lines[at:]) if at < len(lines) else ""
     if options.require_fence and options.trim_body:
         body = re.sub(r"\A(?:\r?\n)+", "", body)
