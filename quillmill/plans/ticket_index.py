@@ -22,6 +22,8 @@ from quillmill.plans.stage import written
 from quillmill.sources import documents
 from quillmill.sources.log import write_atomic
 
+#: Files that one task reads: tickets are short, and starting a task costs more than reading hundreds.
+CHUNK = 4096
 #: Status and type as numbers, for those who store them so; what is unknown counts as the first.
 STATUS_CODES = {"open": 0, "in_progress": 1, "closed": 2}
 TYPE_CODES = {"bug": 0, "feature": 1, "task": 2, "epic": 3, "chore": 4}
@@ -49,7 +51,7 @@ class TicketIndex:
     def files(self, content: str = "false") -> DataFrame:
         """The folder's ticket files.  content: 'true', 'false', or 'head' for what stands
         up to the title."""
-        return documents.scan(self.spark, self.folder, recursive="false", content=content).withColumnRenamed("path", "file")
+        return documents.scan(self.spark, self.folder, recursive="false", content=content, chunk=str(CHUNK)).withColumnRenamed("path", "file")
 
     def _parsed(self, files: DataFrame) -> DataFrame:
         return parsed(files.select("file", "content"), "content").drop("content")

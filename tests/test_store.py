@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import header as H
 from quillmill.functions.schema import Schema, SchemaError
 from quillmill.operators import changes
-from quillmill.plans import hooks
+from quillmill.plans import catalog_store, hooks
 from quillmill.plans.store import AlreadyExists, Closed, CommitIncomplete, Config, NotFound, ScanError, Store, bad_path
 from quillmill.sources import documents, log
 
@@ -153,3 +153,23 @@ def test_replay_twice_is_replay_once(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("b", 7), ("c", 3)]
     faults = spark.createDataFrame([("x", "create", "a", "p", "c"), ("put", None, "a", "p", "c"), ("put", "delete", "a", "p", "c"), ("put", "create", "a", "p", ""), ("delete", "delete", "", "p", None), ("put", "create", "a", "p", "c")], "op string, kind string, id string, path string, content string")
     assert [r[0] for r in faults.select(changes.log_faults()).collect()] == ["unknown op", "missing kind", "invalid kind for put", "missing content for put", "empty id", None]
+
+
+def test_a_large_ticket_folder_is_indexed_in_portions(spark, tmp_path, monkeypatch):
+    orders = spark.range(95).selectExpr("id AS o_orderkey", "element_at(array('F', 'P', 'O'), cast(id % 3 AS int) + 1) AS o_orderstatus", "'2-HIGH' AS o_orderpriority", "date '2020-01-02' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    wanted = sorted(map(tuple, catalog_store.index_rows(spark, str(tmp_path)).collect()))
+    assert [x[1] for x in wanted] == [f"t{k:06d}" for k in range(95)]
+    monkeypatch.setattr(catalog_store, "PORTION", 20)
+    held, folders, save = [], set(), catalog_store._save
+
+    def counted(rows, base):
+        save(rows, base)
+        folders.add(base)
+        held.append(sum(n.endswith(".md") for n in os.listdir(base)))
+
+    monkeypatch.setattr(catalog_store, "_save", counted)
+    assert sorted(map(tuple, catalog_store.index_rows(spark, str(tmp_path)).collect())) == wanted
+    # 95 files in 5 portions: each is taken away before the next is written
+    assert len(held) == 5 and sum(held) == 95 and max(held) < 60
+    assert not any(n.endswith(".md") for base in folders for n in os.listdir(base))
