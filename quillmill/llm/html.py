@@ -17,7 +17,10 @@ A page is read as tokens: the paths of its elements, and its text blocks at thei
   is linked or the same on many pages.  The innermost slot that holds nearly all prose of
   its pages is the article's; slots mostly of linked or repeated text are left out.
 
-Where the page itself says what its article is (`article`, `main`), that is its slot.
+The template's slot decides on every page.  Where a page itself names its article (`article`,
+`main`) and the slot is in it or around it, the name says how far the article reaches; a named
+element beside the slot stays unless its slot is left out, and if all that a page names lies
+beside the slot of its template, the slot is the article.
 Menus, headers, footers, sidebars, forms and scripts go by their element, and adverts,
 comments and the like where the name of an element says nothing else than that.  Other
 names (a warning, related work, a search) are no reason by themselves: inside the article
@@ -251,8 +254,13 @@ def has_article(blocks: list[Block]) -> bool:
 
 def _at_issue(blocks: list[Block]) -> list[Block]:
     """The blocks whose text the template is asked about."""
-    whole = not has_article(blocks)
-    return [x for x in blocks if not x.excluded and (whole or x.article and x.weak)]
+    return [x for x in blocks if not x.excluded]
+
+
+def _named_around(path: str) -> str:
+    """The path of the outermost `article` or `main` around a block, or the block's own."""
+    parts = path.split("/")
+    return next(("/".join(parts[: k + 1]) for k, x in enumerate(parts) if x.partition(".")[0] in ("article", "main")), path)
 
 
 def tokens(pages: DataFrame, hints: bool = True) -> DataFrame:
@@ -463,9 +471,12 @@ def main_text(page: str, template: bytes | None = None, hints: bool = True) -> l
     slot = _slots(left, paths, elements) if out else {}
     aside = lambda x: not x.heading and slot.get(x.path, "") != "" and _hash(slot[x.path]) in out
     told = lambda x: _hash(x.path, x.text) in repeated
-    if has_article(left):
-        return [x.text for x in left if x.article and not (x.weak and (told(x) or aside(x)))]
     box = _container([x for x in left if not aside(x) and not told(x)], paths, holds)
+    if has_article(left):
+        around = {p: _named_around(p) for p in {x.path for x in left if x.article}}
+        met = {p: f"{a}/".startswith(f"{box}/") or box.startswith(f"{a}/") or not box for p, a in around.items()}
+        if any(met.values()) or _hash(box) not in holds:
+            return [x.text for x in left if x.article and not ((x.weak or not met[x.path]) and (aside(x) or x.weak and told(x)))]
     inside = [not box or x.path == box or x.path.startswith(box + "/") for x in left]
     first = inside.index(True) if True in inside else 0
     here = [x for k, x in enumerate(left) if inside[k] or k < first and x.path.rpartition("/")[2].partition(".")[0] == "h1" and not told(x)]

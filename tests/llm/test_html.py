@@ -149,3 +149,16 @@ def test_long_and_deep_pages():
     assert html.main_text(deep) == ["x"]
     long = "<article>" + "".join(f"<p>{k} some words of a very long page</p>" for k in range(200_000)) + "</article>"
     assert len(html.main_text(long)) == 200_000
+
+
+def test_the_template_decides_on_pages_that_name_an_article(spark):
+    def body(k):
+        card = f"<section class=more><article class=card><a href=/{k + 1}>See story {k + 1}</a></article></section>"
+        return f"<body>{card}<div class=text><p>{story(k)}</p><p>{story(k, 1)}</p></div></body>"
+
+    # all that the page names is a linked card beside the slot of its prose
+    found = extracted(spark, host_of(body, 12))
+    assert all(found[k] == f"{story(k)}\n{story(k, 1)}" for k in range(12))
+    # where the named element is around the slot, it says how far the article reaches
+    named = extracted(spark, host_of(lambda k: body(k).replace("<div class=text>", f"<main><h1>T{k}</h1>By {k}<div class=text>").replace("</div></body>", "</div></main></body>"), 12))
+    assert all(named[k] == f"T{k}\nBy {k}\n{story(k)}\n{story(k, 1)}" for k in range(12))
