@@ -1,22 +1,25 @@
-"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, pivot distances and exact Jaccard similarity of word shingles.
 
-A SimHash of `radius` bits is wide at the similarities wanted here (at 0.8 about a seventh
-of the bits differ), too wide for keys of its bits to be few.  So keys come from the same
-shingle hashes by MinHash, the SimHash and its pivot distance tables discard, and the
-shingle sets themselves decide:
+SimHash fingerprints and the ladder of pivots of `simhash` bring documents together, at a
+`radius` wide enough for the similarity wanted (at 0.8 about a seventh of the bits differ);
+the shingle sets themselves decide:
 
 * equal shingle sets are one class, known by its smallest row number;
-* of a class's BANDS * ROWS minima those of a band together are a key under which classes
-  meet; two sets of similarity s meet with probability 1 - (1 - s ** ROWS) ** BANDS, which
-  at 0.8 is 0.999997;
-* a meeting's members carry their fingerprint and one byte of each minimum.  Pairs whose
-  pivot distances differ by more than `radius` in any coordinate, or whose fingerprints do,
-  are discarded, and so are those that agree in fewer than LEAST_AGREED bytes (at 0.8 one
-  pair in 50,000);
-* the members of each meeting that may be similar are walked from one member outwards,
-  and the components of these walks are clusters: every pair that may be similar is in one;
-* inside a cluster the shingle sets themselves are compared, pair by pair where the sketches
-  allow it, from one member outwards: what leaves a task are links that span what is linked
+* classes meet under the way their distances to the ladder go along each choice of
+  stretches, as in `simhash`, and under a band of set sizes: sets whose sizes differ by more
+  than the similarity allows are not similar.  Every two fingerprints of at most `radius`
+  differing bits and fitting sizes meet.  At a wide radius keys select little, so meetings
+  are large: their number of pairs, and the cost of rows sent there, fix how many stretches a
+  key holds.  Meetings of more than SPLIT classes are dealt out by pairs of blocks;
+* in a meeting each class is compared with those whose sizes fit: first the fingerprints bit
+  by bit, then the first HEAD bytes of a sketch, a byte of each of BANDS * ROWS minima of the
+  set (at 0.8 one pair in 300,000 agrees in fewer than HEAD_AGREED).  What leaves a meeting
+  are links that span what may be similar there, and the components of these links are
+  clusters: every pair that may be similar is in one;
+* inside a cluster pairs are discarded whose pivot distances differ by more than `radius` in
+  any coordinate, or whose fingerprints do, or whose sketches agree in fewer than
+  LEAST_AGREED bytes (at 0.8 one pair in 50,000).  The shingle sets of the others are
+  compared, from one member outwards: what leaves a task are links that span what is linked
   there, and no pairs.  Only pairs whose sets have at least the wanted similarity are links.
 
 A cluster of more than BLOCK classes or BLOCK_CHARS characters is dealt out by pairs of
@@ -30,6 +33,8 @@ shingle count as one shingle.  Letters are folded and white space split as by `s
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +51,14 @@ SEED = 42
 BANDS = 24
 ROWS = 4
 LEAST_AGREED = 60
+#: Bytes of a sketch that go to meetings, and how many of them must agree.
+HEAD = 16
+HEAD_AGREED = 5
+#: Classes of one block of a meeting, and what sending a row there costs, in comparisons.
+SPLIT = 65536
+ROW_COST = 2000
+#: Pairs of fingerprints compared at once.
+AREA = 1 << 17
 #: Classes and characters of one block of a cluster.
 BLOCK = 1024
 BLOCK_CHARS = 8_000_000
@@ -64,39 +77,35 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return draw("factor") | np.uint64(1), draw("offset")
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A set's keys, one a band, and a byte of each of its minima."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of each of a set's minima."""
     factor, offset = _permutations()
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), SHINGLES_AT_ONCE):
         least = np.minimum(least, (hashes[lo : lo + SHINGLES_AT_ONCE, None] * factor + offset).min(0))
-    raw = least.tobytes()
-    width = 8 * ROWS
-    keys = np.array([xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) for k in range(BANDS)], np.uint64)
     # minima are small numbers, so their high bits say little: mix before taking a byte
     mixed = least * np.uint64(0x9E3779B97F4A7C15)
-    return keys.view(np.int64), (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _sketches(df: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, prints, keys, bytes_, chars = [], [], [], [], []
+            sets, prints, sizes, bytes_, chars = [], [], [], [], []
             for x in batch.column(1):
                 parts = list(simhash.shingle_hashes(simhash.plain_words(x.as_py()), words))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                k, b = sketch(own)
                 sets.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prints.append(simhash.of_hashes(parts))
-                keys.append(k)
-                bytes_.append(b)
+                sizes.append(len(own))
+                bytes_.append(sketch(own))
                 chars.append(len(x.as_py() or ""))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary()), pa.array(chars, pa.int64())],
-                ["row", "set", "fp", "keys", "bytes", "chars"],
+                [batch.column(0), pa.array(sets, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bytes_, pa.binary()), pa.array(chars, pa.int64())],
+                ["row", "set", "fp", "size", "bytes", "chars"],
             )
 
-    return df.select("row", "text").mapInArrow(run, "row bigint, set binary, fp bigint, keys array<bigint>, bytes binary, chars bigint")
+    return df.select("row", "text").mapInArrow(run, "row bigint, set binary, fp bigint, size bigint, bytes binary, chars bigint")
 
 
 class Sketches:
@@ -113,19 +122,60 @@ class Sketches:
         return others[(self.signs[others] == self.signs[x]).sum(1) >= LEAST_AGREED]
 
 
-def pairs_of(rep: np.ndarray, signs: np.ndarray, fp: np.ndarray | None = None, radius: int = simhash.BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The steps of walks over one meeting's members that may be similar."""
-    sketches = Sketches(signs, fp, radius)
-    left = np.argsort(rep)
-    while len(left):
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
-            x = reached.pop()
-            found = sketches.like(x, left)
-            if len(found):
-                left = left[~np.isin(left, found)]
-                reached += found.tolist()
-                yield rep[np.full(len(found), x)], rep[found]
+def pairs_of(
+    rep: np.ndarray,
+    signs: np.ndarray,
+    fp: np.ndarray | None = None,
+    radius: int = simhash.BITS,
+    agreed: int = LEAST_AGREED,
+    size: np.ndarray | None = None,
+    least: float = 0.0,
+    guest: np.ndarray | None = None,
+    block: np.ndarray | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span what may be similar among one meeting's members.  Guests are compared
+    with the others only, and are larger than they; if there are two blocks, only members of
+    different ones are compared."""
+    count = len(rep)
+    fp = np.zeros(count, np.uint64) if fp is None else fp.view(np.uint64)
+    size = np.ones(count, np.int64) if size is None else size
+    guest = np.zeros(count, bool) if guest is None else guest
+    order = np.lexsort((rep, size, guest))
+    if block is None:
+        sides = [(order[~guest[order]], order, True)]
+    else:
+        low, high = (order[block[order] == x] for x in (block.min(), block.max()))
+        sides = [(low[~guest[low]], high, False), (low[guest[low]], high[~guest[high]], False)]
+    label = np.arange(count)
+    for rows, columns, same in sides:
+        first = np.searchsorted(size[columns], np.ceil(size[rows] * least - 1e-6))
+        if same:  # the rows are the first of the columns
+            first = np.maximum(first, np.arange(1, len(rows) + 1))
+        last = np.searchsorted(size[columns], np.floor(size[rows] / least + 1e-6), "right") if least else np.full(len(rows), len(columns))
+        own, others = fp[rows], fp[columns]
+        hi = 0
+        while hi < len(rows):
+            lo, hi = hi, min(len(rows), hi + max(1, min(256, AREA // max(1, int(last[hi] - first[hi])))))
+            start, end = int(first[lo]), int(last[hi - 1])
+            at = np.flatnonzero(np.bitwise_count(own[lo:hi, None] ^ others[None, start:end]) <= radius) if end > start else ()
+            if not len(at):
+                continue
+            i, j = np.divmod(at, end - start)
+            i, j = i + lo, j + start
+            fits = (j >= first[i]) & (j < last[i])
+            a, b = rows[i[fits]], columns[j[fits]]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            alike = (signs[a] == signs[b]).sum(1) >= agreed
+            a, b = a[alike], b[alike]
+            runs = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            for x, y in itertools.pairwise(runs if len(a) else ()):
+                found = b[x:y]
+                names, nth = np.unique(label[found], return_index=True)
+                found = found[nth[names != label[a[x]]]]
+                if len(found):
+                    yield rep[np.full(len(found), a[x])], rep[found]
+                    label[np.isin(label, names)] = label[a[x]]
 
 
 def spanning(rep: np.ndarray, sketches: Sketches, sets: list[np.ndarray], own: np.ndarray, split: bool, least: float) -> tuple[list[int], list[int]]:
@@ -159,12 +209,55 @@ def spanning(rep: np.ndarray, sketches: Sketches, sets: list[np.ndarray], own: n
     return a, b
 
 
-def _meetings(classes: DataFrame) -> DataFrame:
-    """classes: (rep, fp, keys, bytes).  (key, rep, fp, bytes) of the keys under which several meet."""
-    dealt = classes.select("rep", F.explode("keys").alias("key"))
-    shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    met = written(dealt.join(shared, "key"))
-    return met.join(classes.select("rep", "fp", "bytes"), "rep").select("key", "rep", "fp", "bytes")
+def bands(least: float, most: int) -> np.ndarray:
+    """Where bands of set sizes begin: sets of a similarity of `least` or more are in one
+    band or in two that follow each other."""
+    begin = [0, 1]
+    while begin[-1] <= most:
+        begin.append(math.floor(begin[-1] / least + 1e-6) + 1)
+    return np.array(begin)
+
+
+def stretches(classes: int, pairs: int, radius: int) -> int:
+    """How many stretches of the ladder a key holds: the number that costs least.  pairs:
+    those of fitting bands.  None are left at a radius of all bits, where every pair meets."""
+
+    def cost(a: int) -> float:
+        return math.comb(radius + a, a) * (2 * classes * ROW_COST + pairs / 2 ** (simhash.BITS * a / (radius + a)))
+
+    most = min(8, simhash.BITS - radius)
+    return min(range(min(1, most), most + 1), key=cost)
+
+
+def _meetings(classes: DataFrame, radius: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """classes: (rep, fp, size, bytes).  (key, rep, fp, size, head, guest, block, split) of all
+    meetings, and the written tables that they are read from."""
+    begin = bands(least, classes.agg(F.max("size")).first()[0] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = simhash.cells(batch.column(1).to_numpy().view(np.uint64), radius, agreeing)
+            listed = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
+            band = np.searchsorted(begin, batch.column(2).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band, pa.int64()), listed], ["rep", "fp", "size", "head", "band", "keys"])
+
+    # bands are few, a logarithm of the largest size
+    band = F.expr(f"size(filter(array({', '.join(map(str, begin))}), x -> x <= size))")
+    counts = dict(classes.groupBy(band.cast("int").alias("band")).count().collect())
+    pairs = sum(n * (n // 2 + counts.get(k + 1, 0)) for k, n in counts.items())
+    agreeing = stretches(sum(counts.values()), pairs, radius)
+    head = F.substring("bytes", 1, HEAD).alias("head")
+    keyed = written(classes.select("rep", "fp", "size", head).mapInArrow(run, "rep bigint, fp bigint, size bigint, head binary, band bigint, keys array<bigint>"))
+    each = keyed.select("*", F.posexplode("keys").alias("choice", "key")).withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    met = each.select(F.xxhash64("choice", "key", "at").alias("key"), "rep", "fp", "size", "head", (F.col("at") < F.col("band")).alias("guest"))
+    crowded = written(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT))
+    # a crowded meeting becomes a meeting of each two of its blocks
+    blocks = F.ceil(F.col("n") / SPLIT).cast("int")
+    split = met.join(crowded, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    split = split.select(key.alias("key"), "rep", "fp", "size", "head", "guest", "block", (F.col("block") != F.col("other")).alias("split"))
+    whole = met.join(crowded, "key", "left_anti").withColumn("block", F.lit(0)).withColumn("split", F.lit(False))
+    return whole.unionByName(split), [keyed, crowded]
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -193,24 +286,19 @@ def _signs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _walks(meetings: DataFrame, radius: int) -> DataFrame:
+def _walks(meetings: DataFrame, radius: int, least: float) -> DataFrame:
     """Distinct pairs (a, b) of reps, a < b, that lead from each member of a meeting to all
     that may be similar."""
 
-    def emit(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, signs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bounds = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key))
-        sizes = np.diff(bounds)
-        two = bounds[:-1][sizes == 2]  # most meetings are of two, and are looked at together
-        near = (signs[two] == signs[two + 1]).sum(1) >= LEAST_AGREED
-        pair = np.stack([two, two + 1])[:, near]
-        far = simhash.distances(fp.view(np.uint64)[pair.ravel()], simhash.pivots())
-        place = np.arange(pair.size).reshape(2, -1)
-        kept, _ = simhash.near(fp.view(np.uint64)[pair.ravel()], far, place[0], place[1], radius)
-        out = [(rep[pair[0, kept]], rep[pair[1, kept]])]
-        for lo, n in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            out += pairs_of(rep[lo : lo + n], signs[lo : lo + n], fp[lo : lo + n], radius)
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        if len(a):
+    def emit(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        bounds = np.append(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]]), len(rows[0]))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rep, fp, size, guest, block, split, signs = (x[lo:hi] for x in rows[1:])
+            if hi - lo > 1 and not guest.all():
+                out += pairs_of(rep, signs, fp, radius, HEAD_AGREED, size, least, guest, block if split[0] else None)
+        if out:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -219,19 +307,19 @@ def _walks(meetings: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            rows = (*(batch.column(k).to_numpy() for k in range(3)), _signs(batch.column(3)))
+            rows = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)), _signs(batch.column(7)))
             if rows[0][-1] == rows[0][0] and (not held or held[-1][0][-1] == rows[0][0]):
                 held.append(rows)
                 continue
             rows = tuple(np.concatenate(x) for x in zip(*held, rows, strict=True))
             cut = int(np.searchsorted(rows[0], rows[0][-1]))
             if cut:
-                yield from emit(*(x[:cut] for x in rows))
+                yield from emit(tuple(x[:cut] for x in rows))
             held = [tuple(x[cut:] for x in rows)]
         if held:
-            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from emit(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    dealt = meetings.select("key", "rep", "fp", "bytes").repartition("key").sortWithinPartitions("key")
+    dealt = meetings.select("key", "rep", "fp", "size", "guest", "block", "split", "head").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -264,11 +352,11 @@ def near_duplicates(df: DataFrame, words: int, least: float, radius: int = simha
     component), the component being the least row that links lead to; once for each row."""
     short_batches(df.sparkSession)
     found = written(_sketches(df, words))
-    first = ("fp", "keys", "bytes", "chars")
+    first = ("fp", "size", "bytes", "chars")
     classes = written(found.groupBy("set").agg(F.min_by(F.struct("row", *first), "row").alias("x")).select("set", F.col("x.row").alias("rep"), *(f"x.{c}" for c in first)))
-    meetings = written(_meetings(classes))
-    clusters = connected_components(_walks(meetings, radius))
+    meetings, sources = _meetings(classes.select("rep", "fp", "size", "bytes"), radius, least)
+    clusters = connected_components(_walks(meetings, radius, least))
+    discard(*sources)
     parts = connected_components(_links(clusters, classes, df, words, least, radius))
-    discard(meetings)
     named = classes.join(parts, classes.rep == parts.node, "left").select("set", F.coalesce("component", "rep").alias("component"))
     return found.select("row", "set").distinct().join(named, "set").select("row", "component")

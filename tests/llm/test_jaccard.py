@@ -95,3 +95,33 @@ def test_null_and_repeated_ids_stay(spark):
     assert sorted(map(repr, (x for x in kept if x[0] != 9))) == sorted(map(repr, wanted))
     packed = corpus_pipeline.into_sequences(spark, found, "")
     assert sorted(str(x["doc_id"]) for x in packed.collect()) == sorted(str(i) for i, _ in kept)
+
+
+def test_links_without_a_common_minhash_band_are_found(spark):
+    # similarity 4/5, 12 and 9 bits apart, and no MinHash band of four minima in common
+    one, two = "w2892 w463 w666 w1862 w2729 w1064 w891 w171", "w2394 w1599 w329 w1052 w590 w328 w1025 w1865"
+    rows = [(1, one), (2, two), (3, "some other text"), (11, one + " w2669"), (12, two + " w1816")]
+    df = spark.createDataFrame(rows, "row bigint, text string").repartition(2)
+    found = {x["row"]: x["component"] for x in jaccard.near_duplicates(df, 5, 0.8, corpus_pipeline.RADIUS).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 11: 1, 12: 2}
+
+
+def test_all_fingerprints_within_the_radius_meet_by_their_pivots(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 300, np.uint64)
+    fp = np.concatenate([base, base])
+    for k in range(300):  # 9 to 20 bits turned over
+        for bit in r.choice(64, 9 + k % 12, replace=False):
+            fp[300 + k] ^= np.uint64(1) << np.uint64(bit)
+    size = np.concatenate([s := r.integers(4, 90, 300), s * r.integers(70, 130, 300) // 100])
+    rep = r.permutation(600)
+    rows = [(int(i), int(f), int(n), bytes(jaccard.BANDS * jaccard.ROWS), 1) for i, f, n in zip(rep, fp.view(np.int64), size, strict=True)]
+    classes = spark.createDataFrame(rows, "rep bigint, fp bigint, size bigint, bytes binary, chars bigint").repartition(3)
+    near = lambda x, y: (np.bitwise_count(fp[x] ^ fp[y]) <= 14) & (5 * np.minimum(size[x], size[y]) >= 4 * np.maximum(size[x], size[y]))
+    wanted = {tuple(sorted((int(rep[x]), int(rep[y])))) for x in range(600) for y in x + 1 + np.flatnonzero(near(x, np.arange(x + 1, 600)))}
+    assert 50 < len(wanted) < 250
+    for most in (65536, 8):  # whole meetings, and meetings in blocks
+        monkeypatch.setattr(jaccard, "SPLIT", most)
+        meetings, _ = jaccard._meetings(classes, 14, 0.8)
+        assert meetings.select("key").distinct().count() > 100
+        assert {tuple(x) for x in jaccard._walks(meetings, 14, 0.8).collect()} == wanted
