@@ -39,8 +39,8 @@ def name_of(column: str, codes: dict[str, int]):
 
 
 class TicketIndex:
-    def __init__(self, spark: SparkSession, folder: str, internal: str = documents.INTERNAL):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, internal: str = documents.INTERNAL, chunk: int = CHUNK):
+        self.spark, self.folder, self.chunk = spark, folder, chunk
         self.home = os.path.join(folder, internal)
         os.makedirs(self.home, exist_ok=True)
         self.pointer = os.path.join(self.home, "TICKETS")
@@ -51,7 +51,7 @@ class TicketIndex:
     def files(self, content: str = "false") -> DataFrame:
         """The folder's ticket files.  content: 'true', 'false', or 'head' for what stands
         up to the title."""
-        return documents.scan(self.spark, self.folder, recursive="false", content=content, chunk=str(CHUNK)).withColumnRenamed("path", "file")
+        return documents.scan(self.spark, self.folder, recursive="false", content=content, chunk=str(self.chunk)).withColumnRenamed("path", "file")
 
     def _parsed(self, files: DataFrame) -> DataFrame:
         return parsed(files.select("file", "content"), "content").drop("content")
@@ -83,20 +83,28 @@ class TicketIndex:
         from pyspark.sql import types as T
 
         if not os.path.exists(self.pointer):
-            self.rebuild()
+            self._build()
         with open(self.pointer) as f:
             now = json.load(f)
         return self.spark.read.schema(T.StructType.fromJson(now["schema"])).parquet(self._path(now["version"]))
 
+    def version(self) -> str:
+        """Where the rows of the index as it is are: later versions leave them there."""
+        with open(self.pointer) as f:
+            return self._path(json.load(f)["version"])
+
     def current(self) -> DataFrame:
         """The index, reconciled first if the folder has changed."""
         if os.path.exists(self.pointer) and self.is_stale():
             self.reconcile()
         return self.read()
 
-    def rebuild(self) -> int:
+    def _build(self) -> None:
         with self.lock.write():
             self._publish(self._parsed(self.files("head")))
+
+    def rebuild(self) -> int:
+        self._build()
         return self.read().count()
 
     def reconcile(self) -> None:

@@ -173,3 +173,49 @@ def test_a_large_ticket_folder_is_indexed_in_portions(spark, tmp_path, monkeypat
     # 95 files in 5 portions: each is taken away before the next is written
     assert len(held) == 5 and sum(held) == 95 and max(held) < 60
     assert not any(n.endswith(".md") for base in folders for n in os.listdir(base))
+
+
+def test_portions_take_over_the_files_of_those_before(spark, tmp_path, monkeypatch):
+    orders = spark.range(95).selectExpr("id AS o_orderkey", "element_at(array('F', 'P', 'O'), cast(id % 3 AS int) + 1) AS o_orderstatus", "'2-HIGH' AS o_orderpriority", "date '2020-01-02' AS o_orderdate")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    wanted = sorted(map(tuple, catalog_store.index_rows(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(catalog_store, "PORTION", 20)
+    monkeypatch.setattr(catalog_store, "LANES", 2)
+    held, save = {}, catalog_store._save
+
+    def seen(rows, base):
+        save(rows, base)
+        held.setdefault(base, []).append({e.inode() for e in os.scandir(base) if e.name.endswith(".md")})
+
+    monkeypatch.setattr(catalog_store, "_save", seen)
+    assert sorted(map(tuple, catalog_store.index_rows(spark, str(tmp_path)).collect())) == wanted
+    # a folder for each lane, not for each portion, and no file made where there was one
+    assert sorted(map(len, held.values())) == [2, 3]
+    for first, *later in held.values():
+        for now in later:
+            assert now <= first or first <= now
+            first = now
+
+
+def test_a_spare_folder_holds_what_was_saved_last(spark, tmp_path):
+    base = str(tmp_path / "c")
+    os.makedirs(f"{base}/.index")
+    save = lambda rows: catalog_store._save(spark.createDataFrame(rows, "path string, content string"), base)
+    held = lambda: {n: (tmp_path / "c" / n).read_text() for n in os.listdir(base) if n.endswith(".md")}
+    save([("a.md", "long text"), ("b.md", "b"), ("c.md", "c")])
+    save([("d.md", "d")])  # not marked: what is there stays
+    assert sorted(held()) == ["a.md", "b.md", "c.md", "d.md"]
+    for rows in ([("c.md", "é"), ("x.md", "x"), ("a.md", "shorter")], [("a.md", "more than before"), ("y.md", "")], [(f"{k}.md", "n" * k) for k in range(9)], []):
+        catalog_store._spare(base)
+        save(rows)
+        assert held() == dict(rows) and not os.path.exists(catalog_store._marker(base))
+
+
+def test_a_head_longer_than_the_first_block(tmp_path, monkeypatch):
+    text = "---\nid: a\n---\ntext\n# Title\nbody\n"
+    (tmp_path / "a.md").write_text(text)
+    (tmp_path / "b.md").write_text(text[:18])
+    for block in range(1, 40):
+        monkeypatch.setattr(documents, "BLOCK", block)
+        assert documents.read_head(str(tmp_path / "a.md")) == text[:-5]
+        assert documents.read_head(str(tmp_path / "b.md")) == text[:18]
